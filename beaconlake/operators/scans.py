@@ -26,7 +26,7 @@ def with_slice(df: DataFrame, column: str = "mono_ns", width: int = SLICE_NS) ->
 
 @dataclass(frozen=True)
 class Scan:
-    """One running value: sum, max, min, last (non-null) or row (lag by one row)."""
+    """One running value: sum, max, min, last (non-null so far) or next (first non-null ahead)."""
 
     out: str
     kind: str
@@ -34,56 +34,74 @@ class Scan:
     inclusive: bool = True
 
 
+_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
 def _local(scan: Scan, window) -> Column:
+    if scan.kind == "next":
+        ahead = window.rowsBetween(Window.currentRow if scan.inclusive else 1, Window.unboundedFollowing)
+        return F.first(scan.value, ignorenulls=True).over(ahead)
     frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if scan.inclusive else -1)
     if scan.kind == "last":
         return F.last(scan.value, ignorenulls=True).over(frame)
-    return {"sum": F.sum, "max": F.max, "min": F.min}[scan.kind](scan.value).over(frame)
+    return _FOLDS[scan.kind](scan.value).over(frame)
 
 
 def _block(scan: Scan, order: Column) -> Column:
-    if scan.kind == "last":
-        return F.max_by(scan.value, F.when(scan.value.isNotNull(), order))
-    return {"sum": F.sum, "max": F.max, "min": F.min}[scan.kind](scan.value)
+    if scan.kind in ("last", "next"):
+        pick = F.max_by if scan.kind == "last" else F.min_by
+        return pick(scan.value, F.when(scan.value.isNotNull(), order))
+    return _FOLDS[scan.kind](scan.value)
 
 
 def _merge(scan: Scan, carry: Column, local: Column) -> Column:
-    if scan.kind == "last":
+    if scan.kind in ("last", "next"):
         return F.coalesce(local, carry)
     if scan.kind == "sum":
         return F.coalesce(local + carry, local, carry)
     return (F.greatest if scan.kind == "max" else F.least)(local, carry)
 
 
-def running(df: DataFrame, keys: list[str], scans: list[Scan], order: tuple[str, ...] = ORD, slice_by: str = "mono_ns") -> DataFrame:
+def running(
+    df: DataFrame, keys: list[str], scans: list[Scan], order: tuple[str, ...] = ORD, slice_by: str = "mono_ns", width: int | None = None
+) -> DataFrame:
     """Add one column per scan. ``keys`` must not be null; ``order`` is a total order led by ``slice_by``."""
-    sliced = df if SLICE in df.columns else with_slice(df, slice_by)
+    sliced = with_slice(df, slice_by, width or SLICE_NS)
     window = Window.partitionBy(*keys, SLICE).orderBy(*order)
     order_struct = F.struct(*order)
     local = sliced.select("*", *[_local(s, window).alias(f"__l_{s.out}") for s in scans])
     blocks = sliced.groupBy(*keys, SLICE).agg(*[_block(s, order_struct).alias(f"__b_{s.out}") for s in scans])
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    later = slices.rowsBetween(1, Window.unboundedFollowing)
     carried = []
     for s in scans:
         b = F.col(f"__b_{s.out}")
-        c = F.last(b, ignorenulls=True) if s.kind == "last" else {"sum": F.sum, "max": F.max, "min": F.min}[s.kind](b)
-        carried.append(c.over(earlier).alias(f"__c_{s.out}"))
+        if s.kind == "next":
+            c = F.first(b, ignorenulls=True).over(later)
+        else:
+            c = (F.last(b, ignorenulls=True) if s.kind == "last" else _FOLDS[s.kind](b)).over(earlier)
+        carried.append(c.alias(f"__c_{s.out}"))
     carry = blocks.select(*keys, SLICE, *carried)
     joined = local.join(carry, [*keys, SLICE], "inner")
     merged = [_merge(s, F.col(f"__c_{s.out}"), F.col(f"__l_{s.out}")).alias(s.out) for s in scans]
     return joined.select(*df.columns, *merged)
 
 
-def lagged(df: DataFrame, keys: list[str], out: dict[str, Column], order: tuple[str, ...] = ORD, slice_by: str = "mono_ns") -> DataFrame:
+def lagged(
+    df: DataFrame, keys: list[str], out: dict[str, Column], order: tuple[str, ...] = ORD, slice_by: str = "mono_ns", width: int | None = None
+) -> DataFrame:
     """Values of the immediately preceding row of the key (null on the first row)."""
     row = F.struct(*[value.alias(name) for name, value in out.items()])
-    scanned = running(df, keys, [Scan("__prev", "last", row, inclusive=False)], order, slice_by)
+    scanned = running(df, keys, [Scan("__prev", "last", row, inclusive=False)], order, slice_by, width)
     return scanned.select(*df.columns, *[F.col(f"__prev.{name}").alias(name) for name in out])
 
 
-def positioned(df: DataFrame, keys: list[str], out: str = "pos", order: tuple[str, ...] = ORD, slice_by: str = "mono_ns") -> DataFrame:
+def positioned(
+    df: DataFrame, keys: list[str], out: str = "pos", order: tuple[str, ...] = ORD, slice_by: str = "mono_ns", width: int | None = None
+) -> DataFrame:
     """1-based position of each row inside its key."""
-    return running(df, keys, [Scan(out, "sum", F.lit(1).cast("bigint"))], order, slice_by)
+    return running(df, keys, [Scan(out, "sum", F.lit(1).cast("bigint"))], order, slice_by, width)
 
 
 def row_blocks(df: DataFrame, keys: list[str], rows: int, pos: str = "pos", block: int = 100_000) -> DataFrame:

@@ -17,14 +17,14 @@ SPARK_BASE = """SELECT event_id AS id, timestampdiff(MICROSECOND, timestamp_ntz'
 DUCK_BASE = """SELECT event_id AS id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us,
  user_id AS uid, event_type AS et, value AS v, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"""
 
-_WIN = "CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 300000000) AS BIGINT) AS STRING)"
+_WIN = "CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 300000000000) AS BIGINT) AS STRING)"
 _ENVELOPE = f"""
  'r' || CAST(uid % 8 AS STRING) AS recording_id,
  CASE WHEN uid % 3 = 1 THEN 'u' || CAST(uid AS STRING) || '-' || CAST(id AS STRING) ELSE 'x' || CAST(id AS STRING) END AS event_id,
  CAST(id AS BIGINT) AS sequence,
  CAST(us AS BIGINT) AS mono_ns,
  '2024-01-' || LPAD(CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 86400000000) AS BIGINT) + 1 AS STRING), 2, '0') || 'T00:00:00Z' AS wall_time,
- 's' || CAST(uid AS STRING) || '_' || CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 1300000000) AS BIGINT) AS STRING) AS session_id,
+ 's' || CAST(uid AS STRING) || '_' || CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 1300000000000) AS BIGINT) AS STRING) AS session_id,
  CASE WHEN k % 10 = 0 THEN NULL WHEN k % 50 = 7 THEN 'runx' ELSE 'run' || CAST(uid % 10 AS STRING) END AS run_id,
  CASE WHEN k % 11 = 0 THEN NULL ELSE 'q' || CAST(uid % 100 AS STRING) || '_' || {_WIN} END AS request_id,
  CASE WHEN k % 13 = 0 THEN NULL ELSE 'a' || CAST((uid + k) % 6 AS STRING) END AS agent_id,
