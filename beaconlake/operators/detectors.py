@@ -18,8 +18,9 @@ from beaconlake.functions import readings as R
 from beaconlake.functions.attrs import Readers
 from beaconlake.functions.classify import is_failure
 from beaconlake.operators.islands import bursts, episodes, runs
-from beaconlake.operators.scans import Scan, lagged, positioned, row_blocks, running
+from beaconlake.operators.scans import Scan, clamped_sum, lagged, positioned, row_blocks, running
 from beaconlake.schema import ord_col
+from beaconlake.session import cut_lineage
 
 REC = "recording_id"
 EVIDENCE = [REC, "finding_id", "event_id", "mono_ns", "sequence"]
@@ -100,6 +101,11 @@ def round_ms(ns: Column) -> Column:
     return F.round(ns / 1e6).cast("bigint")
 
 
+def _plain(number: Column) -> Column:
+    """Whole doubles as text without a fraction."""
+    return F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
 def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -186,10 +192,10 @@ def budget_pressure(events: DataFrame, config: Config = Config()) -> Found:
     )
     text = _say(
         f"Context usage stayed at or above {cfg.warn * 100:.1f}% for ", F.col("n"), " sample(s) in ", F.col("scope"), "; peak ",
-        F.col("peak.used"), "/", F.col("peak.limit"), " tokens (", percent(F.col("peak.fraction")), ").",
+        _plain(F.col("peak.used")), "/", _plain(F.col("peak.limit")), " tokens (", percent(F.col("peak.fraction")), ").",
     )
     facts = {
-        "scope": F.col("scope"), "samples": F.col("n"), "peak_used_tokens": F.col("peak.used"), "limit_tokens": F.col("peak.limit"),
+        "scope": F.col("scope"), "samples": F.col("n"), "peak_used_tokens": _plain(F.col("peak.used")), "limit_tokens": _plain(F.col("peak.limit")),
         "peak_fraction": F.col("peak.fraction"),
     }
     level = F.coalesce(R.severity_for(F.col("peak.fraction"), cfg.warn, cfg.critical), F.lit("warning"))
@@ -233,17 +239,13 @@ def pair_compactions(events: DataFrame) -> DataFrame:
     ).where(F.col("step").isin("started", "completed", "failed"))
     keys = [REC, "scope"]
     is_start = F.col("step") == "started"
-    raised = running(rows, keys, [Scan("s", "sum", F.when(is_start, 1).otherwise(-1).cast("bigint"))])
-    floors = running(raised, keys, [Scan("m", "min", F.col("s"), inclusive=False)])
-    # Depth of the stack, with ends on an empty stack leaving it empty.
-    before = F.least(F.coalesce("m", F.lit(0)), F.lit(0))
-    previous = F.col("s") - F.when(is_start, 1).otherwise(-1)
-    level = F.when(is_start, F.col("s") - before).otherwise(previous - before)
-    levelled = floors.withColumn("level", level)
+    # Open starts after and before the event; an end on an empty stack leaves it empty.
+    depth = clamped_sum(rows, keys, F.when(is_start, 1).otherwise(-1).cast("bigint"), "depth", before="depth_before")
+    levelled = depth.withColumn("level", F.when(is_start, F.col("depth")).otherwise(F.coalesce("depth_before", F.lit(0))))
     mark = F.struct("step", "mono_ns", "sequence", "event_id", "before")
     paired = running(levelled, [*keys, "level"], [Scan("p", "last", mark, inclusive=False), Scan("nx", "next", F.col("step"), inclusive=False)])
     start = F.when(~is_start & (F.col("level") > 0) & (F.col("p.step") == "started"), F.col("p"))
-    return paired.withColumn("start", start).withColumn("dangling", is_start & F.col("nx").isNull()).drop("s", "m", "p", "nx")
+    return paired.withColumn("start", start).withColumn("dangling", is_start & F.col("nx").isNull()).drop("depth", "depth_before", "p", "nx")
 
 
 def compaction(events: DataFrame, config: Config = Config()) -> Found:
@@ -257,14 +259,14 @@ def compaction(events: DataFrame, config: Config = Config()) -> Found:
     before, after = F.coalesce(F.col("before"), F.col("start.before")), F.col("after")
     both = done & before.isNotNull() & after.isNotNull()
     detail = F.concat(
-        F.coalesce(_say(" in ", took, " ms"), F.lit("")), F.coalesce(F.when(both, _say("; ", before.cast("bigint"), " -> ", after.cast("bigint"), " tokens")), F.lit(""))
+        F.coalesce(_say(" in ", took, " ms"), F.lit("")), F.coalesce(F.when(both, _say("; ", _plain(before), " -> ", _plain(after), " tokens")), F.lit(""))
     )
     text = (
         F.when(done, _say("Context compaction completed in ", F.col("scope"), detail, "."))
         .when(F.col("step") == "failed", _say("Context compaction failed in ", F.col("scope"), "."))
         .otherwise(_say("Context compaction started in ", F.col("scope"), " with no completion observed in this stream."))
     )
-    facts = {"scope": F.col("scope"), "duration_ms": took, "tokens_before": F.when(both, before), "tokens_after": F.when(both, after)}
+    facts = {"scope": F.col("scope"), "duration_ms": took, "tokens_before": F.when(both, _plain(before)), "tokens_after": F.when(both, _plain(after))}
     cited = F.when(F.col("start").isNotNull(), 2).otherwise(1)
     rows = finding_rows(ends, kind, F.when(done, "info").otherwise("warning"), text, facts, events=cited)
     opened = ends.where("start IS NOT NULL").select(REC, "finding_id", "start.event_id", "start.mono_ns", "start.sequence")
@@ -324,7 +326,7 @@ def duplicate_worker(events: DataFrame, config: Config = Config()) -> Found:
     guard = _single(events.where(F.col("event_type") == "guard.duplicate_work"), kind)
     guards = Found(
         finding_rows(guard, kind, F.lit("warning"), F.lit("Producer guard reported duplicate work."), {}, "producer-reported"), _cited(guard),
-        guard.select(REC, "finding_id", F.lit("agents").alias("fact"), F.lit("").alias("subject"), ord_col().alias("first_ord")).limit(0),
+        guard.select(REC, "finding_id", F.lit("agents").alias("fact"), F.lit("").alias("subject"), ord_col().alias("first_ord")).where(F.lit(False)),
     )
     spawn = F.col("event_type") == "agent.spawned"
     life = events.where(F.col("event_type").isin("agent.spawned", "agent.completed", "agent.cancelled") & R.filled("agent_id").isNotNull()).select(
@@ -334,10 +336,12 @@ def duplicate_worker(events: DataFrame, config: Config = Config()) -> Found:
     inside = running(tasked, [REC, "task", "agent_id"], [Scan("was_in", "last", spawn, inclusive=False)])
     was_in = F.coalesce("was_in", F.lit(False))
     step = F.when(spawn & ~was_in, 1).when(~spawn & was_in, -1).otherwise(0).cast("bigint")
-    stepped = inside.withColumn("step", step)
+    stepped = cut_lineage(inside.withColumn("step", step))
     sized = running(stepped, [REC, "task"], [Scan("size", "sum", F.col("step"))]).withColumn("size_before", F.col("size") - F.col("step"))
     begins = (F.col("size_before") == 0) & (F.col("step") == 1)
-    period = running(sized, [REC, "task"], [Scan("period", "last", F.when(begins, ord_col()))]).where("size_before > 0 OR step = 1")
+    period = cut_lineage(
+        running(sized, [REC, "task"], [Scan("period", "last", F.when(begins, ord_col()))]).where("size_before > 0 OR step = 1")
+    )
     keys = [REC, "task", "period"]
     opening = period.where("step = 1 AND size_before > 0").groupBy(*keys).agg(F.min(ord_col()).alias("opens"))
     rows = period.join(opening, keys)
@@ -436,7 +440,7 @@ def cache_thrash(events: DataFrame, config: Config = Config()) -> Found:
     kind, cfg = "cache-thrash", config.cache_thrash
     placed, windows = hit_rate_windows(events, cfg.window_ms * 1_000_000, cfg.min_lookups)
     total = F.aggregate("prior", F.lit(0.0), lambda acc, x: acc + x["rate"])
-    judged = windows.where(F.size("prior") > 0).withColumn("baseline", total / F.size("prior")).where(
+    judged = windows.where(F.size("prior") > 0).withColumn("baseline", F.try_divide(total, F.size("prior"))).where(
         (F.col("baseline") >= cfg.baseline_hit_rate) & (F.col("rate") <= F.col("baseline") * cfg.drop_ratio)
     ).withColumn("finding_id", _id(kind, F.col("first_id"), "hitrate:"))
     covers = judged.select(REC, "scope", "finding_id", F.explode(F.concat(F.transform("prior", lambda x: x["w"]), F.array("w"))).alias("w"))

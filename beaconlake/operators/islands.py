@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconlake.operators.scans import Scan, lagged, running, time_blocks
+from beaconlake.operators.scans import Scan, running, segments, time_blocks
 from beaconlake.schema import ORD, ord_col
 
 
@@ -36,15 +36,9 @@ def bursts(df: DataFrame, keys: list[str], count: int, window_ns: int) -> DataFr
 
 def episodes(df: DataFrame, keys: list[str], high: Column) -> DataFrame:
     """Maximal runs of rows with ``high``."""
-    flagged = df.withColumn("__high", F.coalesce(high, F.lit(False)))
-    before = lagged(flagged, keys, {"__was": F.col("__high")})
-    starts = F.col("__high") & ~F.coalesce(F.col("__was"), F.lit(False))
-    return _island_of(before, keys, starts).where("__high").select(*df.columns, "island")
+    return segments(df, keys, F.when(high, F.lit(True)), "island")
 
 
 def runs(df: DataFrame, keys: list[str], signature: Column) -> DataFrame:
     """Consecutive rows of equal non-null signature (``sig``); a null ends a run."""
-    signed = df.withColumn("sig", signature)
-    before = lagged(signed, keys, {"__was": F.col("sig")})
-    starts = F.col("sig").isNotNull() & ~F.col("sig").eqNullSafe(F.col("__was"))
-    return _island_of(before, keys, starts).where(F.col("sig").isNotNull()).select(*df.columns, "sig", "island")
+    return segments(df.withColumn("sig", signature), keys, F.col("sig"), "island")

@@ -171,20 +171,21 @@ def resource_counters(events: DataFrame) -> DataFrame:
     used = events.where(t.isin("device.memory.sample", "device.compute.sample", "kv.pressure", "guard.budget_pressure"))
     usage = F.when(t == "device.memory.sample", R.memory_usage(r))
     load = F.when(t == "device.compute.sample", r.num("utilization"))
-    rows = used.select("recording_id", "mono_ns", "sequence", "event_id", "event_type", "device_id", usage.alias("u"), load.alias("load"))
-    sample = F.struct("event_id", "device_id", "u.used", "u.total", "u.fraction")
-    usable = F.col("u.used").isNotNull() & F.col("u.total").isNotNull()
+    read = used.select("recording_id", "mono_ns", "sequence", "event_id", "event_type", "device_id", usage.alias("u"), load.alias("load"))
+    rows = read.select("*", F.when(F.col("u.used").isNotNull(), F.col("u.fraction")).alias("fraction"))
+    sample = F.struct("event_id", "device_id", "u")
+    usable = F.col("fraction").isNotNull()
     folded = rows.groupBy("recording_id").agg(
         F.max_by(sample, F.when(usable, ord_col())).alias("latest"),
-        F.max(F.when(usable, F.col("u.fraction"))).alias("peak_fraction"),
+        F.max("fraction").alias("peak_fraction"),
         F.max_by("load", F.when(F.col("load").isNotNull(), ord_col())).alias("latest_compute_utilization"),
         F.count_if(F.col("event_type").isin("kv.pressure", "guard.budget_pressure")).alias("pressure_events"),
     )
-    highest = rows.where(usable).join(folded.select("recording_id", "peak_fraction"), "recording_id").where(F.col("u.fraction") == F.col("peak_fraction"))
+    highest = rows.where(usable).join(folded.select("recording_id", "peak_fraction"), "recording_id").where(F.col("fraction") == F.col("peak_fraction"))
     peak = highest.groupBy("recording_id").agg(F.min_by("event_id", ord_col()).alias("peak_event_id"))
     return folded.join(peak, "recording_id", "left").select(
-        "recording_id", F.col("latest.event_id").alias("latest_event_id"), F.col("latest.fraction").alias("latest_fraction"),
-        F.col("latest.used").alias("latest_used_bytes"), F.col("latest.device_id").alias("latest_device_id"),
+        "recording_id", F.col("latest.event_id").alias("latest_event_id"), F.col("latest.u.fraction").alias("latest_fraction"),
+        F.col("latest.u.used").alias("latest_used_bytes"), F.col("latest.device_id").alias("latest_device_id"),
         "peak_event_id", "peak_fraction", "latest_compute_utilization", "pressure_events",
     )
 

@@ -88,6 +88,69 @@ def running(
     return joined.select(*df.columns, *merged)
 
 
+def clamped_sum(
+    df: DataFrame, keys: list[str], step: Column, out: str, before: str | None = None, order: tuple[str, ...] = ORD, slice_by: str = "mono_ns"
+) -> DataFrame:
+    """Running sum of ``step`` that never falls below zero (null until the first step).
+
+    With s the plain running sum and m its lowest value so far, the clamped sum is
+    s - min(m, 0). A slice is summarised by its sum and its lowest prefix sum.
+    ``before`` names a column for the value just before the row.
+    """
+    sliced = with_slice(df, slice_by).withColumn("__step", step)
+    window = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sliced.withColumn("__s", F.sum("__step").over(upto))
+    lowest = summed.withColumn("__m", F.min("__s").over(upto))
+    local = lowest.withColumn("__ps", F.lag("__s").over(window)).withColumn("__pm", F.lag("__m").over(window))
+    blocks = summed.groupBy(*keys, SLICE).agg(F.sum("__step").alias("__bs"), F.min("__s").alias("__bm"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offset = blocks.withColumn("__cs", F.sum("__bs").over(earlier))
+    lows = offset.withColumn("__low", F.coalesce(F.col("__cs"), F.lit(0)) + F.col("__bm"))
+    carry = lows.select(*keys, SLICE, "__cs", F.min("__low").over(earlier).alias("__cm"))
+    joined = local.join(carry, [*keys, SLICE], "inner")
+
+    def value(s: str, m: str) -> Column:
+        base = F.coalesce(F.col("__cs"), F.lit(0))
+        total = F.when(F.col("__cs").isNotNull() | F.col(s).isNotNull(), base + F.coalesce(F.col(s), F.lit(0)))
+        return total - F.least(F.col("__cm"), base + F.col(m), F.lit(0))
+
+    columns = [value("__s", "__m").alias(out)]
+    if before:
+        columns.append(value("__ps", "__pm").alias(before))
+    return joined.select(*df.columns, *columns)
+
+
+def segments(df: DataFrame, keys: list[str], mark: Column, out: str, order: tuple[str, ...] = ORD, slice_by: str = "mono_ns") -> DataFrame:
+    """Rows of non-null ``mark`` with ``out``, the order struct of the first row of their run of equal marks.
+
+    Only the first row of a slice needs its neighbour, which is known from the
+    summary of the slices before it, so one pass over the slices is enough.
+    """
+    at = F.struct(*order)
+    sliced = with_slice(df, slice_by).withColumn("__mark", mark)
+    window = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    previous = F.lag(F.struct("__mark")).over(window)
+    flagged = sliced.withColumn("__p", previous)
+    inner = F.col("__p").isNotNull() & F.col("__mark").isNotNull() & ~F.col("__mark").eqNullSafe(F.col("__p.__mark"))
+    started = flagged.withColumn("__st", F.when(inner, at))
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = started.withColumn("__l", F.last("__st", ignorenulls=True).over(upto))
+    blocks = started.groupBy(*keys, SLICE).agg(
+        F.min(at).alias("__first"), F.min_by(F.struct("__mark"), at).alias("__fm"), F.max_by(F.struct("__mark"), at).alias("__lm"), F.max("__st").alias("__last")
+    )
+    order_slices = Window.partitionBy(*keys).orderBy(SLICE)
+    neighbour = F.lag("__lm").over(order_slices)
+    opened = blocks.withColumn("__nb", neighbour)
+    fresh = F.col("__fm.__mark").isNotNull() & (F.col("__nb").isNull() | ~F.col("__fm.__mark").eqNullSafe(F.col("__nb.__mark")))
+    opened = opened.withColumn("__own", F.when(fresh, F.col("__first")))
+    earlier = order_slices.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.coalesce("__last", "__own"), ignorenulls=True).over(earlier)
+    carry = opened.select(*keys, SLICE, F.coalesce(F.col("__own"), carried).alias("__c"))
+    joined = local.where("__mark IS NOT NULL").join(carry, [*keys, SLICE], "inner")
+    return joined.select(*df.columns, F.coalesce("__l", "__c").alias(out))
+
+
 def lagged(
     df: DataFrame, keys: list[str], out: dict[str, Column], order: tuple[str, ...] = ORD, slice_by: str = "mono_ns", width: int | None = None
 ) -> DataFrame:

@@ -26,11 +26,8 @@ def _ord_struct(ns: str, seq: str, event: str) -> Column:
 
 def request_starts(events: DataFrame) -> DataFrame:
     """First and last start of every request key."""
-    started = with_stream(events).where((F.col("event_type") == "request.started") & R.filled("request_id").isNotNull())
-    facts = F.struct(F.col("producer.name").alias("producer"), "session_id", R.filled("model_instance_id").alias("model_instance_id"))
-    return started.groupBy(*KEY).agg(
-        F.min(ord_col()).alias("first_start"), F.max(ord_col()).alias("last_start"), F.max_by(facts, ord_col()).alias("start")
-    )
+    started = with_stream(events.where((F.col("event_type") == "request.started") & R.filled("request_id").isNotNull()))
+    return started.groupBy(*KEY).agg(F.min(ord_col()).alias("first_start"), F.max(ord_col()).alias("start_ord"))
 
 
 def session_models(events: DataFrame) -> DataFrame:
@@ -48,6 +45,10 @@ def _facts(events: DataFrame) -> DataFrame:
     rows = with_stream(events).where(R.filled("request_id").isNotNull())
     return rows.select(
         *KEY, "mono_ns", "sequence", "event_id",
+        F.when(
+            F.col("event_type") == "request.started",
+            F.struct(F.col("producer.name").alias("producer"), "session_id", R.filled("model_instance_id").alias("model_instance_id")),
+        ).alias("start"),
         F.when(ends, F.substring_index("event_type", ".", -1)).alias("outcome"),
         F.when(ends, R.backend_token_count(r)).alias("backend_tokens"),
         F.when(ends, r.num("total_ms")).alias("total_ms"),
@@ -63,11 +64,11 @@ def _facts(events: DataFrame) -> DataFrame:
 
 def request_spans(events: DataFrame) -> DataFrame:
     """One row per request key that started, for its latest start."""
-    starts = request_starts(events)
-    rows = _facts(events).join(starts.select(*KEY, "last_start"), KEY).where(ord_col() > F.col("last_start"))
+    rows = _facts(events).join(request_starts(events), KEY).where(ord_col() >= F.col("start_ord"))
     at = ord_col()
     has = lambda c: F.when(F.col(c).isNotNull(), at)
-    folded = rows.groupBy(*KEY).agg(
+    folded = rows.groupBy(*KEY, "start_ord", "first_start").agg(
+        F.min_by("start", at).alias("start"),
         F.min_by(F.struct("mono_ns", "outcome", "backend_tokens", "total_ms", "ttft_ms"), has("outcome")).alias("end"),
         F.max_by(F.struct("eval_ms", "mono_ns"), has("eval_ms")).alias("eval"),
         F.min(F.when(F.col("is_output"), F.col("mono_ns"))).alias("first_token_ns"),
@@ -79,12 +80,12 @@ def request_spans(events: DataFrame) -> DataFrame:
         F.max_by(F.struct("cache.*", "event_id"), has("cache")).alias("cache"),
         F.max_by(F.struct("spec.*", "event_id"), has("spec")).alias("spec"),
     )
-    spans = starts.join(folded, KEY, "left").withColumn("session_id", F.col("start.session_id"))
+    spans = folded.withColumn("session_id", F.col("start.session_id"))
     spans = spans.join(session_models(events), ["recording_id", "stream", "session_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     flat = spans.select(
         *KEY, F.col("start.producer").alias("producer"), "session_id",
-        F.col("last_start.mono_ns").alias("start_ns"), F.col("last_start").alias("start_ord"), "first_start",
+        F.col("start_ord.mono_ns").alias("start_ns"), "start_ord", "first_start",
         F.col("end.mono_ns").alias("end_ns"), F.coalesce("end.outcome", F.lit("open")).alias("outcome"),
         "first_token_ns", "last_token_ns", zero("tokens"), zero("token_events"), zero("chunks"),
         F.col("end.backend_tokens").alias("backend_tokens"), F.col("end.total_ms").alias("total_ms"), F.col("end.ttft_ms").alias("ttft_ms"),

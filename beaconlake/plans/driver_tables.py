@@ -9,9 +9,14 @@ of rows hold activity on the scale of the second-long windows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beaconlake.schema import ORD
+from beaconlake.session import shared_folder
+
 SPARK_BASE = """SELECT event_id AS id, timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) AS us,
  user_id AS uid, event_type AS et, value AS v, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}"""
 DUCK_BASE = """SELECT event_id AS id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us,
@@ -251,26 +256,58 @@ def _mapped(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     return assemble(spark.sql(mapping.replace("FROM base", "FROM {base}"), base=base))
 
 
+def _span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {name: _read(spark, sf_dir, name) for name in ("orders", "lineitem", "part")}
+    lines = spark.sql(SPARK_SPAN_LINES, **tables)
+    return assemble(spark.sql(SPANS.replace("FROM span_lines", "FROM {span_lines}"), span_lines=lines))
+
+
+_VIEWS = {
+    "core": lambda spark, sf_dir: _mapped(spark, sf_dir, CORE),
+    "agents": lambda spark, sf_dir: _mapped(spark, sf_dir, AGENTS),
+    "pipe": lambda spark, sf_dir: _mapped(spark, sf_dir, PIPE),
+    "spans": _span_events,
+    "turns": lambda spark, sf_dir: assemble(spark.sql(TURNS, conversations=_read(spark, sf_dir, "conversations"))),
+}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def events_of(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """Events of a view, read from the events table.
+
+    As with recordings, the mapped events are written once, partitioned by
+    recording and ranged by time, so that queries read only the recordings,
+    columns and attribute members they use and skip files by time and type.
+    The table lives in the shared folder of the session.
+    """
+    mapped = _VIEWS[view](spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, view)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}/{view}"
+        ranged = mapped.repartitionByRange("recording_id", "mono_ns").sortWithinPartitions("recording_id", *ORD)
+        ranged.write.partitionBy("recording_id").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(mapped.schema).parquet(_STORED[key])
+
+
 def core_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir, CORE)
+    return events_of(spark, sf_dir, "core")
 
 
 def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir, AGENTS)
+    return events_of(spark, sf_dir, "agents")
 
 
 def pipe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir, PIPE)
+    return events_of(spark, sf_dir, "pipe")
 
 
 def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {name: _read(spark, sf_dir, name) for name in ("orders", "lineitem", "part")}
-    lines = spark.sql(SPARK_SPAN_LINES, **tables)
-    return assemble(spark.sql(SPANS.replace("FROM span_lines", "FROM {span_lines}"), span_lines=lines))
+    return events_of(spark, sf_dir, "spans")
 
 
 def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble(spark.sql(TURNS, conversations=_read(spark, sf_dir, "conversations")))
+    return events_of(spark, sf_dir, "turns")
 
 
 def duck_with(view: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings (they can be set on a running session).
@@ -33,18 +35,19 @@ def build(app: str = "beaconlake", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and derived tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    ``fallback_dir`` is used only where the session names none (tests).
+    Only where the session names none (tests on one machine) a new folder is made and set.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if shared and current is None:
-        spark.sparkContext.setCheckpointDir(shared)
-    elif current is None:
-        if fallback_dir is None:
-            raise ValueError("no spark.checkpoint.dir is set and no fallback folder was given")
-        spark.sparkContext.setCheckpointDir(fallback_dir)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="beaconlake-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so that deep derivations are planned and computed once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
