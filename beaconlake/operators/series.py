@@ -11,6 +11,7 @@ from beaconlake.functions.classify import event_class
 from beaconlake.operators.replay import bounds
 from beaconlake.operators.scans import Scan, clamped_sum, positioned, row_blocks, running
 from beaconlake.schema import ord_col
+from beaconlake.session import cut_lineage
 
 BUCKETS = 24
 LATENCY_WINDOW = 8
@@ -149,7 +150,7 @@ def kv_series(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     While blocks are not known for all producers the highest latest occupancy stands
     in; before any occupancy was reported the last known block fraction stays.
     """
-    rows = kv_snapshots(events).join(_extent(events, buckets), REC).withColumn("bucket", _bucket(F.col("mono_ns"), buckets))
+    rows = cut_lineage(kv_snapshots(events)).join(_extent(events, buckets), REC).withColumn("bucket", _bucket(F.col("mono_ns"), buckets))
     last = rows.groupBy(REC, "bucket").agg(
         F.max_by(F.struct("fraction", "occ_seen"), ord_col()).alias("at"), F.max_by("fraction", F.when(F.col("fraction").isNotNull(), ord_col())).alias("known")
     )

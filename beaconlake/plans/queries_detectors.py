@@ -299,10 +299,10 @@ def union_findings(spark, d):
     return D.in_order(D.run_all(core(spark, d), kinds=_KINDS).findings).select("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns")
 
 
-@query("filter_findings", f"{_TWO} SELECT * FROM fs WHERE severity = 'critical' AND kind = 'error-burst'")
+@query("filter_findings", f"{_TWO} SELECT * FROM fs WHERE severity <> 'info' AND kind = 'error-burst'")
 def filter_findings(spark, d):
     found = D.run_all(core(spark, d), kinds=_KINDS).findings
-    return D.filter_findings(found, "critical", ["error-burst"]).select("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns")
+    return D.filter_findings(found, "warning", ["error-burst"]).select("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns")
 
 
 @query("severity_counts", f"{_TWO} SELECT recording_id, COUNT(*) FILTER (severity = 'critical') AS critical, COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info FROM fs GROUP BY 1")
