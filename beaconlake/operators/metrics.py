@@ -18,21 +18,27 @@ RECENT_WINDOW_NS = 5_000_000_000
 RECENT_NS = float(RECENT_WINDOW_NS)
 
 
-def _latency(df: DataFrame, keys: list[str], duration_ns: str) -> DataFrame:
-    """Nearest-rank statistics by rank over distinct durations.
+def nearest_ranks(df: DataFrame, keys: list[str], value: Column, width: int, percentiles: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Exact nearest-rank percentiles: count, p50, p95 and max of ``value``.
 
-    The durations are counted per value first (combined map-side), so the rank
-    is found on the count table and no task holds all durations of a group.
+    The values are counted first (combined map-side), so the rank is found on the
+    count table, cut into slices of ``width``; no task holds all values of a group.
     """
-    values = df.groupBy(*keys, F.col(duration_ns).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = values.groupBy(*keys).agg(F.sum("__n").alias("count"), F.max("__d").alias("__max"))
-    ranked = running(values, keys, [Scan("__upto", "sum", F.col("__n"))], order=("__d",), slice_by="__d", width=1_000_000_000)
+    values = df.groupBy(*keys, value.alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    totals = values.groupBy(*keys).agg(F.sum("__n").alias("count"), F.max("__d").alias("max"))
+    ranked = running(values, keys, [Scan("__upto", "sum", F.col("__n"))], order=("__d",), slice_by="__d", width=width)
     joined = ranked.join(totals, keys)
-    rank = lambda p: F.ceil(F.lit(p / 100.0) * F.col("count"))
-    pick = lambda p: F.min(F.when(F.col("__upto") >= F.greatest(rank(p), F.lit(1)), F.col("__d"))) / 1e6
-    return joined.groupBy(*keys).agg(
-        F.max("count").alias("count"), pick(50).alias("p50_ms"), pick(95).alias("p95_ms"), (F.max("__max") / 1e6).alias("max_ms")
-    )
+
+    def pick(p: int) -> Column:
+        rank = F.greatest(F.ceil(F.lit(p / 100.0) * F.col("count")), F.lit(1))
+        return F.min(F.when(F.col("__upto") >= rank, F.col("__d"))).alias(f"p{p}")
+
+    return joined.groupBy(*keys).agg(F.max("count").alias("count"), *[pick(p) for p in percentiles], F.max("max").alias("max"))
+
+
+def _latency(df: DataFrame, keys: list[str], duration_ns: str) -> DataFrame:
+    ranks = nearest_ranks(df, keys, F.col(duration_ns), 1_000_000_000)
+    return ranks.select(*keys, "count", *[(F.col(c) / 1e6).alias(f"{c}_ms") for c in ("p50", "p95", "max")])
 
 
 def latency_stats(spans: DataFrame, by: list[str] | None = None) -> DataFrame:

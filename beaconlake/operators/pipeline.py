@@ -70,7 +70,7 @@ def pipeline_requests(rows: DataFrame) -> DataFrame:
         F.when(states, r.name("kind")).alias("kind"), F.when(t == "route.selected", r.name("model")).alias("route_model"),
         F.when(t == "request.started", r.name("requested_model")).alias("requested_model"), F.when(states, r.whole("prompt_tokens")).alias("prompt"),
         F.when(states & counted, r.whole("completion_tokens")).alias("completion"), F.when(ends, F.substring_index(t, ".", -1)).alias("outcome"),
-        F.when(ends, r.name("model")).alias("outcome_model"), (t == "scheduler.preempted").alias("preempted"),
+        F.when(ends, r.name("model")).alias("outcome_model"), (F.col("moves") & (t == "scheduler.preempted")).alias("preempted"),
     )
     # Without an output event, the stage is the furthest one moved to since the last preemption.
     preempted = facts.where("preempted").groupBy(*KEY).agg(F.max(ord_col()).alias("last_preempt"))

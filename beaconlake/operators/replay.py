@@ -65,8 +65,13 @@ def as_of(events: DataFrame, position_ns: Column | int) -> DataFrame:
 
 
 def at_cursors(events: DataFrame, cursors: DataFrame) -> DataFrame:
-    """One copy of each prefix per cursor (``recording_id, cursor_id, at_ns``), with ``cursor_id`` added."""
-    return events.join(cursors, "recording_id").where(F.col("mono_ns") <= F.col("at_ns")).drop("at_ns")
+    """The prefix of a recording at each of its cursors (``recording_id, cursor_id, at_ns``).
+
+    Every prefix becomes a recording of its own, ``<recording>@<cursor>``, so that
+    all operators give the state at each cursor unchanged.
+    """
+    prefixes = events.join(cursors, "recording_id").where(F.col("mono_ns") <= F.col("at_ns"))
+    return prefixes.withColumn("recording_id", F.concat("recording_id", F.lit("@"), "cursor_id")).select(*events.columns)
 
 
 def neighbours(events: DataFrame, predicate: Column) -> DataFrame:

@@ -276,6 +276,8 @@ def delegation_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reached = _breadth_first(roots, links, None)
 
     left = cut_lineage(agents.join(reached, [REC, "node_id"], "left_anti").withColumn("owner", F.col("seen")))
+    if left.isEmpty():
+        return reached
     inner = links.join(left.select(REC, F.col("node_id").alias("source")), [REC, "source"], "left_semi")
     inner = cut_lineage(inner.join(left.select(REC, F.col("node_id").alias("target")), [REC, "target"], "left_semi"))
     while True:
@@ -301,9 +303,11 @@ def _breadth_first(starts: DataFrame, links: DataFrame, owners: DataFrame | None
         b = owners.select(REC, F.col("node_id").alias("target"), F.col("owner").alias("to"))
         links = links.join(a, [REC, "source"]).join(b, [REC, "target"]).where("so = to").select(REC, "source", "target")
     hops = links.select(REC, F.col("source").alias("node_id"), F.col("target").alias("next_id"))
-    done = frontier = cut_lineage(starts)
-    while not frontier.isEmpty():
-        step = frontier.join(hops, [REC, "node_id"]).select(REC, F.col("next_id").alias("node_id"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = cut_lineage(step.join(done.select(REC, "node_id"), [REC, "node_id"], "left_anti"))
-        done = cut_lineage(done.unionByName(frontier))
-    return done
+    reached, level = cut_lineage(starts), 0
+    while True:
+        step = reached.where(F.col("depth") == level).join(hops, [REC, "node_id"]).select(REC, F.col("next_id").alias("node_id")).distinct()
+        fresh = step.join(reached.select(REC, "node_id"), [REC, "node_id"], "left_anti").withColumn("depth", F.lit(level + 1))
+        grown = cut_lineage(reached.unionByName(fresh))
+        if grown.where(F.col("depth") == level + 1).isEmpty():
+            return grown
+        reached, level = grown, level + 1
