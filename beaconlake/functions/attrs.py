@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_DOUBLE = F.lit(None).cast("double")
-
-
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.functions import readings as R
@@ -19,6 +19,7 @@ from beaconlake.operators.metrics import nearest_ranks
 from beaconlake.operators.scans import Scan, positioned, running
 from beaconlake.operators.spans import request_spans
 from beaconlake.schema import ord_col
+from beaconlake.session import cut_lineage
 
 REC = "recording_id"
 MODES = ("run", "request", "turn")
@@ -137,7 +138,8 @@ def align_units(units: DataFrame, inferred: Column | None = None) -> DataFrame:
     by position. ``place`` and ``b_pos`` give the display order: a unit only in B
     follows the last shared unit before it.
     """
-    ranked = positioned(units.select("pair_id", "side", "unit", "first_ns"), ["pair_id", "side"], order=("first_ns", "unit"), slice_by="first_ns")
+    # The short unit table is met several times below, so it is computed once.
+    ranked = cut_lineage(positioned(units.select("pair_id", "side", "unit", "first_ns"), ["pair_id", "side"], order=("first_ns", "unit"), slice_by="first_ns"))
     a, b = split_sides(ranked)
     a = a.select("pair_id", F.col("unit").alias("a_unit"), F.col("pos").alias("a_pos"))
     b = b.select("pair_id", F.col("unit").alias("b_unit"), F.col("pos").alias("b_pos"))
@@ -226,8 +228,6 @@ def finding_signatures(found: Found, subject_map: DataFrame | None = None) -> Da
 
 
 def _first_items(items: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy(REC, "finding_id", "fact").orderBy("subject")
     return items.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= MAX_SIGNATURE_ITEMS).drop("__rank")
 

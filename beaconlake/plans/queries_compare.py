@@ -15,6 +15,7 @@ from beaconlake.plans import oracle_core as O
 from beaconlake.plans.queries_core import _latency_sql
 from beaconlake.plans.queries_topology import EDGES_SQL, NODES_SQL, graph_sql
 from beaconlake.plans.registry import query, r6
+from beaconlake.session import cut_lineage
 
 core, agents, pipe = dt.core_events, dt.agent_events, dt.pipe_events
 HALF = 1_296_000_000_000
@@ -80,14 +81,14 @@ _UNITS = {
     "turn": units_sql("COALESCE(turn_id, f_turn)", "turn"),
 }
 _FLOATS = ("ttft_ms", "ttft_p95_ms", "decode_tok_per_sec", "prompt_tokens", "completion_tokens", "cost_usd", "cost_budget_fraction", "budget_peak_fraction", "cache_hit_rate")
-_STAT_COLS = "recording_id, unit, first_ns, events, requests, failed_requests, retries, cache_hits, cache_misses, errors, " + ", ".join(f"ROUND({c}, 5) AS {c}" for c in _FLOATS)
+_STAT_COLS = "recording_id, unit, first_ns, events, requests, failed_requests, retries, cache_hits, cache_misses, errors, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in _FLOATS)
 
 
 def _unit_stats(spark, d, mode):
     ev = halves(core(spark, d))
     out = C.unit_stats(ev, C.request_facts(ev), mode)
     for c in _FLOATS:
-        out = out.withColumn(c, F.round(F.col(c).cast("double"), 5))
+        out = out.withColumn(c, F.round(F.col(c).cast("double"), 6))
     return out
 
 
@@ -128,14 +129,14 @@ def align_by_position(spark, d):
 
 _METRIC_ROWS = ", ".join(f"('{n}', '{p}', {t}::DOUBLE)" for n, p, t in C.METRICS)
 _LONG = "lg AS (" + " UNION ALL ".join(f"SELECT pair_id, side, unit, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM sd" for n, _, _ in C.METRICS) + f"), md(metric, pol, tol) AS (VALUES {_METRIC_ROWS})"
-_VERDICT = """SELECT pair_id, unit, metric, ROUND(a, 5) AS a, ROUND(b, 5) AS b, ROUND(b - a, 5) AS delta, ROUND(CASE WHEN a <> 0 THEN (b - a) / abs(a) END, 5) AS relative,
+_VERDICT = """SELECT pair_id, unit, metric, ROUND(a, 6) AS a, ROUND(b, 6) AS b, ROUND(b - a, 5) AS delta, ROUND(CASE WHEN a <> 0 THEN (b - a) / abs(a) END, 5) AS relative,
  CASE WHEN a IS NULL AND b IS NULL THEN 'n/a' WHEN a IS NULL THEN 'only-b' WHEN b IS NULL THEN 'only-a' WHEN b - a = 0 OR (tol > 0 AND a <> 0 AND abs((b - a) / abs(a)) < tol) THEN 'same' WHEN pol = 'neutral' THEN 'changed'
  WHEN (pol = 'lower' AND b < a) OR (pol = 'higher' AND b > a) THEN 'better' ELSE 'worse' END AS verdict"""
 
 
 def _delta_cols(df):
-    for c in ("a", "b", "delta", "relative"):
-        df = df.withColumn(c, F.round(c, 5))
+    for c, digits in (("a", 6), ("b", 6), ("delta", 5), ("relative", 5)):
+        df = df.withColumn(c, F.round(c, digits))
     return df
 
 
@@ -154,7 +155,7 @@ def metric_deltas(spark, d):
 )
 def metric_deltas_by_run(spark, d):
     ev = halves(core(spark, d))
-    units = sides(C.unit_stats(ev, C.request_facts(ev), "run"))
+    units = cut_lineage(sides(C.unit_stats(ev, C.request_facts(ev), "run")))
     return _delta_cols(C.metric_deltas(units, C.align_units(units)))
 
 

@@ -37,28 +37,38 @@ def report_source(events: DataFrame) -> DataFrame:
     return facts.join(sessions, REC).join(producers, REC)
 
 
-def report_tables(events: DataFrame, config: detectors.Config = detectors.Config(), columns: int = 96, **selection) -> dict[str, DataFrame]:
-    """All tables of a report over the selected range."""
+def report_tables(
+    events: DataFrame, config: detectors.Config = detectors.Config(), columns: int = 96, tables: tuple[str, ...] | None = None, **selection
+) -> dict[str, DataFrame]:
+    """The tables of a report over the selected range; only the named ones are planned."""
     chosen = replay.filter_range(events, **selection)
-    spans = request_spans(chosen)
-    found = detectors.run_all(chosen, config)
-    stated = topology.mentions(chosen)
-    return {
-        "source": report_source(chosen),
+    parts: dict[str, object] = {}
+
+    def once(name: str, make):
+        if name not in parts:
+            parts[name] = make()
+        return parts[name]
+
+    spans = lambda: once("spans", lambda: request_spans(chosen))
+    found = lambda: once("found", lambda: detectors.run_all(chosen, config))
+    stated = lambda: once("stated", lambda: topology.mentions(chosen))
+    makers = {
+        "source": lambda: report_source(chosen),
         "request_spans": spans,
-        "request_latency": metrics.latency_stats(spans),
-        "time_to_first_token": metrics.ttft_stats(spans),
-        "tokens": metrics.token_totals(chosen, spans),
-        "errors": metrics.errors_by_type(chosen),
-        "agents": metrics.agent_counters(chosen),
-        "tools": metrics.tool_counters(chosen),
-        "resources": metrics.resource_counters(chosen),
-        "findings": found.findings,
-        "finding_evidence": detectors.resolve_evidence(found.evidence, chosen, event_class()),
-        "topology_nodes": topology.topology_nodes(stated),
-        "topology_edges": topology.topology_edges(stated),
-        "timeline": series.timeline_buckets(chosen, columns),
+        "request_latency": lambda: metrics.latency_stats(spans()),
+        "time_to_first_token": lambda: metrics.ttft_stats(spans()),
+        "tokens": lambda: metrics.token_totals(chosen, spans()),
+        "errors": lambda: metrics.errors_by_type(chosen),
+        "agents": lambda: metrics.agent_counters(chosen),
+        "tools": lambda: metrics.tool_counters(chosen),
+        "resources": lambda: metrics.resource_counters(chosen),
+        "findings": lambda: found().findings,
+        "finding_evidence": lambda: detectors.resolve_evidence(found().evidence, chosen, event_class()),
+        "topology_nodes": lambda: topology.topology_nodes(stated()),
+        "topology_edges": lambda: topology.topology_edges(stated()),
+        "timeline": lambda: series.timeline_buckets(chosen, columns),
     }
+    return {name: makers[name]() for name in tables or makers}
 
 
 def write_report(
@@ -67,7 +77,7 @@ def write_report(
 ) -> list[str]:
     """Write the report tables under ``path``, one folder per table, partitioned by recording."""
     require_acknowledged(events, acknowledge_sensitive, dialect, **selection)
-    made = report_tables(events, config, **selection)
-    for name in tables or made:
-        made[name].write.mode("overwrite").partitionBy(REC).format(format).save(f"{path}/{name}")
-    return list(tables or made)
+    made = report_tables(events, config, tables=tables, **selection)
+    for name, table in made.items():
+        table.write.mode("overwrite").partitionBy(REC).format(format).save(f"{path}/{name}")
+    return list(made)
