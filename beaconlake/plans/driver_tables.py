@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconlake.schema import ORD
 from beaconlake.session import shared_folder
+from beaconlake.sources.table import read_events, write_events
 
 SPARK_BASE = """SELECT event_id AS id, timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) AS us,
  user_id AS uid, event_type AS et, value AS v, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}"""
@@ -284,10 +284,9 @@ def events_of(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, view)
     if key not in _STORED:
         path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}/{view}"
-        ranged = mapped.repartitionByRange("recording_id", "mono_ns").sortWithinPartitions("recording_id", *ORD)
-        ranged.write.partitionBy("recording_id").parquet(path)
+        write_events(mapped, path)
         _STORED[key] = path
-    return spark.read.schema(mapped.schema).parquet(_STORED[key])
+    return read_events(spark, _STORED[key], mapped.schema)
 
 
 def core_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from beaconlake.plans.queries_core import _latency_sql
 from beaconlake.plans.registry import query, r6
 from beaconlake.session import shared_folder
 from beaconlake.sources import ndjson
+from beaconlake.sources.table import read_events, write_events
 from beaconlake.streaming import live
 
 # One JSON line per table row; k decides which fault it has. Every user is a producer instance and reuses one request id.
@@ -63,6 +64,20 @@ def _loaded(spark, d):
     return ndjson.load_recording(spark, f"{line_folder(spark, d)}/*/*.txt", recording_id=_by_folder)
 
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def _ingested(spark, d):
+    """The parsed events as the table they are stored in, so that derivations do not parse the text again."""
+    events = _loaded(spark, d).events.drop("extra", "raw")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TABLES:
+        path = f"{shared_folder(spark)}/ingested-{uuid.uuid4().hex}"
+        write_events(events, path)
+        _TABLES[key] = path
+    return read_events(spark, _TABLES[key], events.schema)
+
+
 @query("validate_envelope", f"{BASE} SELECT id, reason FROM j")
 def validate_envelope(spark, d):
     lines = _line_rows(spark, d).select("id", F.lit("x").alias("recording_id"), F.lit("x").alias("path"), F.lit(2).cast("bigint").alias("line"), "value")
@@ -90,7 +105,7 @@ def src_line_numbers(spark, d):
 
 @query("variant_readers", f"{BASE} SELECT event_id, CAST({_N} AS BIGINT) AS output_tokens, CASE WHEN k % 2 = 0 AND k > 0 THEN CAST(k AS DOUBLE) END AS dropped, CASE WHEN k % 3 = 0 THEN CAST(k % 5 AS DOUBLE) END AS count_number, CASE WHEN k % 3 = 1 THEN CAST(k AS STRING) END AS count_text FROM good")
 def variant_readers(spark, d):
-    ev = _loaded(spark, d).events
+    ev = _ingested(spark, d)
     r = Readers(ev)
     return ev.select("event_id", R.output_token_count(r).alias("output_tokens"), R.dropped_count(r).alias("dropped"), r.num("count").alias("count_number"), r.text("count").alias("count_text"))
 
@@ -117,13 +132,13 @@ _SPAN_COLS = ("recording_id", "stream", "request_id", "start_ns", "end_ns", "out
 @query("recording_to_spans", f"{_SP} SELECT * FROM spans")
 def recording_to_spans(spark, d):
     """Text lines to spans: parse, validate, dedupe, derive."""
-    ev = _loaded(spark, d).events.select("recording_id", "event_id", "sequence", "mono_ns", "event_type", "session_id", "request_id", "model_instance_id", "producer", "attributes", "path", "line")
+    ev = _ingested(spark, d).drop("sampling", "wall_ts", "wall_time", "schema")
     return request_spans(replay.dedupe_events(ev, ("path", "line"))).select(*_SPAN_COLS)
 
 
 @query("recording_to_latency", f"{_SP}{_latency_sql('spans', 'recording_id', '(end_ns - start_ns)')}")
 def recording_to_latency(spark, d):
-    out = metrics.latency_stats(request_spans(_loaded(spark, d).events))
+    out = metrics.latency_stats(request_spans(_ingested(spark, d)))
     return out.select("recording_id", "count", r6("p50_ms"), r6("p95_ms"), r6("max_ms"))
 
 
@@ -142,7 +157,7 @@ def snk_ndjson(spark, d):
 @query("snk_recording", f"{BASE} SELECT rec AS recording_id, COUNT(*) AS event_count FROM good WHERE us BETWEEN 500000000000 AND 2000000000000 GROUP BY 1")
 def snk_recording(spark, d):
     path = f"{shared_folder(spark)}/rec-{uuid.uuid4().hex}"
-    ndjson.write_recording(_loaded(spark, d).events, path, from_ns=500_000_000_000, to_ns=2_000_000_000_000)
+    ndjson.write_recording(_ingested(spark, d), path, from_ns=500_000_000_000, to_ns=2_000_000_000_000)
     return spark.read.json(f"{path}/manifest").select("recording_id", "event_count")
 
 
@@ -218,7 +233,7 @@ def stream_gaps(spark, d):
 
 @query("stream_spans", f"{_SP} SELECT * FROM spans")
 def stream_spans(spark, d):
-    return run_stream(live.stream_spans(live.stream_ingest(_stream(spark, d)).events), "update", ("recording_id", "stream", "request_id")).select(*_SPAN_COLS)
+    return run_stream(live.stream_spans(live.stream_ingest(_stream(spark, d)).events, delay="31 days"), "update", ("recording_id", "stream", "request_id")).select(*_SPAN_COLS)
 
 
 @query("stream_drops", f"""{BASE}, r AS (SELECT rec, uid, us, k FROM good WHERE et = 'error' AND k % 2 = 0 AND k > 0)
