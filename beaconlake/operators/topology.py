@@ -79,14 +79,36 @@ def _present(*items: Column) -> Column:
 
 def mentions(events: DataFrame) -> DataFrame:
     """Topology events with the nodes, edges and diagnostics each of them states."""
-    r = Readers(events)
+    # The attributes are read once into columns; the rules below use each of them many times.
+    found = resolved_calls(events)
+    r = Readers(found)
+    reads = {
+        "_tokens": r.num("tokens", "token_count", "transferred_tokens"),
+        "_to": r.name("to_agent_id", "to", "target_agent_id"),
+        "_parent": r.name("parent", "parent_agent_id"),
+        "_instance": F.coalesce(filled("model_instance_id"), r.name("model_instance_id", "to_model")),
+        "_provider": r.name("to_provider", "provider"),
+        "_model": r.name("model"),
+        "_from": r.name("from_model", "previous_model_instance_id", "from_provider"),
+        "_tool": r.name("tool", "tool_name"),
+        "_store": r.name("store", "memory_store", "store_id"),
+        "_source": r.name("from_agent_id", "source_agent_id"),
+        "_fork_to": r.name("to_agent_id", "target_agent_id"),
+        "_target_agent": r.name("target_agent_id"),
+        "_target_model": r.name("target_model"),
+        "_name": r.name("name"),
+        "_role": r.name("role"),
+        "_agent": filled("agent_id"),
+        "_mi": filled("model_instance_id"),
+    }
+    rows = found.select(REC, "mono_ns", "sequence", "event_id", "event_type", "agent_id", "call", *[v.alias(k) for k, v in reads.items()])
     t = F.col("event_type")
-    agent, call = filled("agent_id"), F.col("call")
-    tokens = r.num("tokens", "token_count", "transferred_tokens")
+    agent, call = F.col("_agent"), F.col("call")
+    tokens = F.col("_tokens")
     me = _id("agent", agent)
-    to = r.name("to_agent_id", "to", "target_agent_id")
+    to = F.col("_to")
     is_agent, is_message = t.startswith("agent."), t == "agent.message"
-    parent = r.name("parent", "parent_agent_id")
+    parent = F.col("_parent")
     agent_state = (
         F.when(t == "agent.spawned", "pending").when(t == "agent.started", "active").when(t == "agent.completed", "completed")
         .when(t == "agent.cancelled", "cancelled").when(t.endswith(".failed"), "failed")
@@ -95,19 +117,19 @@ def mentions(events: DataFrame) -> DataFrame:
     own = F.when(~is_message, F.lit(True))
 
     is_route = t.startswith("route.")
-    instance = F.coalesce(filled("model_instance_id"), r.name("model_instance_id", "to_model"))
-    provider = F.when(instance.isNull(), r.name("to_provider", "provider"))
+    instance = F.col("_instance")
+    provider = F.when(instance.isNull(), F.col("_provider"))
     target = F.coalesce(instance, provider)
-    named = F.when(t == "route.selected", F.concat(provider, F.lit(" · "), r.name("model")))
+    named = F.when(t == "route.selected", F.concat(provider, F.lit(" · "), F.col("_model")))
     routed = is_route & target.isNotNull() & (agent.isNotNull() | provider.isNotNull())
-    came_from = r.name("from_model", "previous_model_instance_id", "from_provider")
+    came_from = F.col("_from")
     moved = routed & (t == "route.changed") & came_from.isNotNull() & (came_from != target)
 
     is_model = t.startswith("model.")
     model_state = F.when(t == "model.load.started", "loading").when(t == "model.load.completed", "active").when(t == "model.unload", "unloaded")
 
     is_tool, called = t.startswith("tool."), t == "tool.called"
-    tool = r.name("tool", "tool_name")
+    tool = F.col("_tool")
     known = is_tool & ~called & call.isNotNull()
     unknown = is_tool & ~called & call.isNull() & tool.isNotNull()
     failed = t == "tool.failed"
@@ -117,17 +139,17 @@ def mentions(events: DataFrame) -> DataFrame:
     tool_named = F.when(is_tool & (called | unknown), tool).when(known, F.col("call.tool"))
 
     is_memory = t.startswith("memory.retrieval.")
-    store = r.name("store", "memory_store", "store_id")
+    store = F.col("_store")
     started, lost = t == "memory.retrieval.started", t.endswith(".failed")
     memory_state = F.when(started, "active").when(lost, "failed").otherwise("completed")
 
     forked = t == "context.forked"
-    fork_from = F.coalesce(agent, r.name("from_agent_id", "source_agent_id"))
-    fork_to = r.name("to_agent_id", "target_agent_id")
+    fork_from = F.coalesce(agent, F.col("_source"))
+    fork_to = F.col("_fork_to")
     fork = forked & fork_from.isNotNull() & fork_to.isNotNull()
 
     retry, recovery, guard = t == "retry.scheduled", t == "recovery.action", t.startswith("guard.")
-    target_agent, target_model = r.name("target_agent_id"), r.name("target_model")
+    target_agent, target_model = F.col("_target_agent"), F.col("_target_model")
     retry_call = retry & agent.isNotNull() & call.isNotNull()
     retry_agent = retry & agent.isNotNull() & call.isNull() & target_agent.isNotNull()
     healed = recovery & agent.isNotNull()
@@ -137,13 +159,13 @@ def mentions(events: DataFrame) -> DataFrame:
         guard_kind = F.when(t == name, kind).otherwise(guard_kind)
 
     nodes = _present(
-        _node(is_agent, "agent", agent, F.when(own, agent_state), F.when(own, r.name("name")), F.when(own, r.name("role"))),
+        _node(is_agent, "agent", agent, F.when(own, agent_state), F.when(own, F.col("_name")), F.when(own, F.col("_role"))),
         _node(is_message & agent.isNotNull(), "agent", to),
         _node((t == "agent.spawned") & agent.isNotNull(), "agent", parent),
         _node(is_route & target.isNotNull(), "agent", agent),
         _node(routed, "model", target, F.when(agent.isNull(), "active"), named),
         _node(moved, "model", came_from),
-        _node(is_model, "model", filled("model_instance_id"), model_state, r.name("model")),
+        _node(is_model, "model", F.col("_mi"), model_state, F.col("_model")),
         _node((called & tool.isNotNull()) | unknown, "agent", agent),
         _node(is_tool, "tool", tool_named, tool_state),
         _node(is_memory, "memory", store, memory_state),
@@ -181,7 +203,6 @@ def mentions(events: DataFrame) -> DataFrame:
         _diag(recovery, "recovery", me),
         _diag(guard, guard_kind, me),
     )
-    rows = resolved_calls(events)
     return rows.select(REC, "mono_ns", "sequence", "event_id", "event_type", "agent_id", nodes.alias("nodes"), edges.alias("edges"), diags.alias("diags"))
 
 

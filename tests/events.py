@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beaconlake.session import cut_lineage
 from beaconlake.sources.ndjson import parse_lines
 
 
@@ -25,7 +26,7 @@ def lines(spark: SparkSession, values: list[str], recording: str = "rec") -> Dat
 def load(spark: SparkSession, events: list[dict], recording: str = "rec") -> DataFrame:
     parsed = parse_lines(lines(spark, [json.dumps(e) for e in events], recording))
     assert parsed.rejected.isEmpty()
-    return parsed.events
+    return cut_lineage(parsed.events)
 
 
 def flat(spark: SparkSession, rows: list[tuple]) -> DataFrame:

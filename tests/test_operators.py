@@ -12,7 +12,6 @@ from beaconlake.functions.attrs import Readers
 from beaconlake.operators import detectors as D
 from beaconlake.operators import gpu
 from beaconlake.operators import pipeline as P
-from beaconlake.operators import topology as T
 from beaconlake.operators.spans import request_spans
 from beaconlake.sources.ndjson import parse_lines
 from beaconlake.streaming.state import fill_holes
@@ -75,25 +74,6 @@ def test_gpu_context_null_is_a_value_and_counts_do_not_inflate(spark):
     assert gpu.gpu_warnings(ev).first()["count"] == 7
 
 
-def test_topology_of_a_small_session(spark):
-    a, b = {"agent_id": "a"}, {"agent_id": "b"}
-    ev = load(spark, [
-        event(1, "agent.spawned", {"name": "boss"}, **a), event(2, "agent.started", **a), event(3, "agent.spawned", {"parent": "a"}, **b),
-        event(4, "route.selected", {}, model_instance_id="m1", **b), event(5, "tool.called", {"tool": "t", "tool_call_id": "c1"}, **b),
-        event(6, "tool.failed", {"tool_call_id": "c1"}), event(7, "route.changed", {"from_model": "m1"}, model_instance_id="m2", **b),
-        event(8, "tool.completed", {"tool_call_id": "nobody"}), event(9, "guard.budget_pressure"), event(10, "memory.retrieval.completed", {"store": "s", "tokens": 4}, **b),
-    ])
-    stated = T.mentions(ev)
-    nodes = {r["node_id"]: (r["label"], r["status"]) for r in T.topology_nodes(stated).collect()}
-    assert nodes["agent:a"] == ("boss", "active") and nodes["agent:b"] == ("b", "pending") and nodes["tool:t"] == ("t", "failed")
-    edges = {r["edge_id"]: (r["status"], r["count"], r["failures"], r["tokens"]) for r in T.topology_edges(stated).collect()}
-    assert edges["route:agent:b->model:m1"] == ("superseded", 1, 0, None) and edges["route:agent:b->model:m2"] == ("active", 1, 0, None)
-    assert edges["tool_call:agent:b->tool:t"] == ("failed", 1, 1, None) and edges["memory_retrieval:agent:b->memory:s"] == ("ok", 1, 0, 4.0)
-    assert [r["event_id"] for r in T.unmapped_events(stated).collect()] == ["e_tool.completed_8"]
-    depth = {r["node_id"]: r["depth"] for r in T.delegation_depth(T.topology_nodes(stated), T.topology_edges(stated)).collect()}
-    assert depth == {"agent:a": 0, "agent:b": 1}
-
-
 def fold_duplicate_workers(rows):
     """The rule row by row: (task, cited ids) of every cluster."""
     active, task_of, clusters, found = {}, {}, {}, []
