@@ -38,12 +38,17 @@ def build(app: str = "beaconlake", master: str | None = None, **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and derived tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a new folder is made and set.
+    Where the session names none, a folder of this machine is taken only if driver and executors are one process
+    (``local[n]``, as in tests); a cluster without the setting is refused.
     """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="beaconlake-")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="beaconlake-"))
+        context.setCheckpointDir(named)
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
