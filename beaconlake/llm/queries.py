@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_rules, url_filters
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("_removed", F.lit(0).cast("bigint"), lambda n, r: n + r["n_lines"])
+    longest = F.coalesce(F.array_max(F.transform("_removed", lambda r: r["n_lines"])), F.lit(0)).cast("bigint")
+    return out.select("doc_id", removed.alias("n_removed"), F.size("_removed").alias("n_runs"), longest.alias("longest_run"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
