@@ -218,7 +218,7 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_batches(path: str, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def encode_batches(path: str, with_ids: bool, with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         for frame in frames:
@@ -232,16 +232,17 @@ def encode_batches(path: str, with_ids: bool) -> Callable[[Iterator[pd.DataFrame
                     id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                     text_hashes.append(hashlib.sha256(back).hexdigest())
                     if with_ids:
-                        lists.append([int(i) for i in joined.split(",")] if joined else [])
+                        lists.append(np.array(joined.split(","), dtype=np.int32) if joined else [])
+                    if with_text:
                         decoded.append(back.decode())
             out = {"doc_id": frame["doc_id"], "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
-            yield pd.DataFrame(out | ({"ids": lists, "decoded": decoded} if with_ids else {}))
+            yield pd.DataFrame(out | ({"ids": lists} if with_ids else {}) | ({"decoded": decoded} if with_text else {}))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, ``with_ids``, the ids and the text decoded from them, for each row.
+def encode(docs: DataFrame, path: str, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the text decoded from them, for each row.
 
     No shuffle; rows are coded alone, whole and in batches, so repeated rows repeat their result. A null or empty text has no tokens and
     decodes to the empty text. A special token's string in a text is that token. Null ids are carried; other columns are not read.
@@ -249,5 +250,5 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    more = ", ids array<int>, decoded string" if with_ids else ""
-    return docs.select("doc_id", "text").mapInPandas(encode_batches(path, with_ids), f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    more = ", ids array<int>" * ids + ", decoded string" * decoded
+    return docs.select("doc_id", "text").mapInPandas(encode_batches(path, ids, decoded), f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

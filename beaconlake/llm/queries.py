@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, url_filters
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,19 @@ def op2_near_dedup(spark, sf_dir):
 
 @query
 def op3_bpe(spark, sf_dir):
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
 
 
 @query
@@ -64,3 +76,9 @@ def op9_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("blocked"))
     return url_filters.url_verdicts(pages, pages.join(labels, "page_id").select("url", "blocked"))
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))

@@ -63,36 +63,38 @@ def chunks(bounds: np.ndarray):
         start = stop
 
 
-def shingles(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the distinct shingles, sorted; A-Z is lower-cased, a shorter text is one shingle, one without words none."""
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each word in order, A-Z lower-cased."""
     if not len(raw):
-        return none
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
     starts = np.nonzero(inside & (np.r_[True, ~inside[:-1]] | edge[:-1]))[0]
     ends = np.nonzero(inside & (np.r_[~inside[1:], True] | edge[1:]))[0] + 1
-    if not len(starts):
-        return none
-    size = 1 << max(20, int(len(raw) + 1).bit_length())
-    up, down = powers(size)
+    up, down = powers(1 << max(20, int(len(raw) + 1).bit_length()))
     sums = np.r_[U(0), np.cumsum(byte_table()[low] * up[: len(raw)])]
-    words = mix((sums[ends] - sums[starts]) * down[starts])
-    text = np.searchsorted(bounds, starts, "right") - 1
+    return np.searchsorted(bounds, starts, "right") - 1, mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def shingles(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the distinct shingles, sorted; a shorter text is one shingle, one without words none."""
+    text, word = words(raw, bounds)
+    if not len(text):
+        return text, word
     count = np.bincount(text, minlength=len(bounds) - 1)
 
     full = np.nonzero(text[SHINGLE - 1 :] == text[: len(text) - SHINGLE + 1])[0] if len(text) >= SHINGLE else np.zeros(0, dtype=np.int64)
     hashes = np.zeros(len(full), dtype=np.uint64)
     for j in range(SHINGLE):
-        hashes = hashes * ROLL + words[full + j]
+        hashes = hashes * ROLL + word[full + j]
     short = (count > 0) & (count < SHINGLE)
     firsts = np.searchsorted(text, np.nonzero(short)[0])
     few = np.zeros(len(firsts), dtype=np.uint64)
     for j in range(SHINGLE - 1):
         has = count[short] > j
-        few[has] = few[has] * ROLL + words[firsts[has] + j]
+        few[has] = few[has] * ROLL + word[firsts[has] + j]
     few = few + count[short].astype(np.uint64) * GOLDEN
     owner, hashes = np.r_[text[full], np.nonzero(short)[0]], mix(np.r_[hashes, few])
     order = np.lexsort((hashes, owner))
