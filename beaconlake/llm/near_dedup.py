@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class and take part once, by their sma
 are candidates. Pairs inside a bucket are never all emitted: first every member meets the bucket's smallest id, and of all those the one with the
 likeliest registers is verified; then only buckets whose members are still in different components
 go on, ``LEADERS`` members at a time against the later members of other components, round by round until each bucket is one component or all its
-members have been leaders. So no candidate is dropped and no round makes more than ``LEADERS`` pairs for a member of a bucket.
+members have been leaders. The join that compares them holds the low two bits of all registers and emits only pairs whose bits agree as often as
+those of similar sets do, so no candidate near the threshold is dropped and dissimilar members of a bucket make no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,10 +23,11 @@ from .common import ship, stored
 from .graph import components
 
 BANDS, ROWS = 64, 7
-LEADERS = 32
+LEADERS = 256
 PERCENT = 75
 # A pair is verified if its estimate is at most this far below the threshold: five standard deviations of an estimate from 448 registers at 0.75.
 MARGIN = 0.11
+DEVIATIONS = 4.5  # likewise for the share of registers whose low two bits agree, (1 + 3 J) / 4 at similarity J
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -43,9 +45,11 @@ def sketch_batches(bands: int, rows: int) -> Batches:
                 regs = sketch.registers(owner, hashes, stop - start, bands * rows)
                 keys = sketch.band_keys(regs, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (stop - start + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                packed = sketch.digests(regs)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(total(hashes)), pa.array(total(sketch.mix(hashes + sketch.GOLDEN))), lists, pa.array([x.tobytes() for x in regs], type=pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "regs"],
+                    [batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(total(hashes)), pa.array(total(sketch.mix(hashes + sketch.GOLDEN))), lists, bits, pa.array([x.tobytes() for x in regs], type=pa.binary())],
+                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "bits", "regs"],
                 )
 
     return run
@@ -87,7 +91,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     """
     ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = stored(ids.mapInArrow(sketch_batches(bands, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, regs binary"), "sketches")
+    made = stored(ids.mapInArrow(sketch_batches(bands, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>, regs binary"), "sketches")
     same = ["n_shingles", "s1", "s2"]
     classes = stored(made.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.join(classes, same).filter("doc_id = rep")
@@ -95,12 +99,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).filter("n > 1")
     members = stored(each.join(shared, ["band", "key"]).select("band", "key", "doc_id", "lead"), "members")
     wanted = members.select("doc_id").distinct()
-    sketches = stored(reps.select("doc_id", "n_shingles", "regs").join(wanted, "doc_id", "left_semi"), "registers")
+    chosen = reps.join(wanted, "doc_id", "left_semi")
+    sketches = stored(chosen.select("doc_id", "n_shingles", "regs"), "registers")
+    longs = -(-bands * rows // 32)
+    bits = stored(chosen.select("doc_id", F.col("n_shingles").alias("n"), *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(longs))), "bits")
     texts = ids.join(wanted, "doc_id", "left_semi")
+    expected = (1 + 3 * percent / 100) / 4
+    needed = expected - DEVIATIONS * (expected * (1 - expected) / (bands * rows)) ** 0.5
+    pad = longs * 32 - bands * rows  # unused places agree
+
+    def agreement(left: str, right: str) -> Column:
+        """Registers whose low two bits agree."""
+        differing = [F.expr(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 6148914691236517205L)") for x in (f"({left}.w{i} ^ {right}.w{i})" for i in range(longs))]
+        return F.lit(longs * 32 - pad) - sum(differing[1:], differing[0])
+
+    similar_size = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
 
     def estimated(pairs: DataFrame) -> DataFrame:
         side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("regs").alias("r" + x))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
         found = joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimate_batches, "a bigint, b bigint, likely double")
         return found.filter(F.col("likely") >= percent / 100 - MARGIN)
 
@@ -109,8 +126,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify_batches(percent), "a bigint, b bigint"), "verified")
 
     stars = members.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    best = estimated(stars).groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b"))
-    links = verified(best)
+    met = stars.alias("s").join(bits.alias("x"), F.col("s.a") == F.col("x.doc_id")).join(bits.alias("y"), F.col("s.b") == F.col("y.doc_id")).filter(similar_size)
+    met = met.select("a", "b", agreement("x", "y").alias("agree")).filter(F.col("agree") >= needed * bands * rows)
+    best = met.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    links = verified(estimated(best).select("a", "b"))
     labels = components(links)
     members = members.select("band", "key", "doc_id").withColumn("place", F.row_number().over(W.partitionBy("band", "key").orderBy("doc_id")))
     done = 0
@@ -120,8 +139,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         left = stored(now.join(mixed.select("band", "key"), ["band", "key"]), "members")
         if left.isEmpty():
             break
-        heads = left.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS)).select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("bc"), F.col("place").alias("bp"))
-        pairs = left.join(heads, ["band", "key"]).filter((F.col("place") > F.col("bp")) & (F.col("component") != F.col("bc"))).select(F.col("doc_id").alias("a"), "b").distinct()
+        packed = left.join(bits, "doc_id")
+        heads = packed.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS))
+        meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
+        close = F.expr(similar_size) & (agreement("x", "y") >= needed * bands * rows)
+        pairs = packed.alias("x").join(heads.alias("y"), meet & close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
         found = verified(estimated(pairs).select("a", "b"))
         if not found.isEmpty():
             links = links.unionByName(found)

@@ -155,3 +155,11 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
         left = loglik(x) > loglik(y)
         low, high = np.where(left, low, x), np.where(left, y, high)
     return (low + high) / 2
+
+
+def digests(regs: np.ndarray) -> np.ndarray:
+    """The two low bits of each register, 32 registers to a 64-bit number."""
+    n, m = regs.shape
+    low = np.zeros((n, -(-m // 32) * 32), dtype=np.uint64)
+    low[:, :m] = regs & 3
+    return np.bitwise_or.reduce(low.reshape(n, -1, 32) << (np.arange(32, dtype=np.uint64) * U(2)), axis=2).view(np.int64)
