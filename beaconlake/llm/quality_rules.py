@@ -100,6 +100,11 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     prefix = "_q_"
     while any(x.lower().startswith(prefix) for x in docs.columns):
         prefix = "_" + prefix
-    out = measured(docs, rules, prefix=prefix).filter(F.col(prefix + "kept"))
-    text = F.when(F.col(prefix + "n_failed_lines") == 0, F.col("text")).otherwise(F.col(prefix + "clean"))
-    return out.select(*(text.alias(x) if x == "text" else F.char_length(text).cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else F.col(x) for x in docs.columns))
+    c = lambda name: F.col(prefix + name)
+    # The generator keeps the filter from being pushed under the counts, which would compute them once for each mention.
+    verdict = F.explode(F.array(F.struct(c("kept").alias("kept"), c("n_failed_lines").alias("failed"), c("clean").alias("clean")))).alias(prefix + "v")
+    out = measured(docs, rules, prefix=prefix).select(*docs.columns, verdict).filter(F.col(prefix + "v.kept"))
+    text = F.when(F.col(prefix + "v.failed") == 0, F.col("text")).otherwise(F.col(prefix + "v.clean"))
+    size = F.char_length(F.col("text"))
+    out = out.select(*(text.alias("text") if x == "text" else F.col(x) for x in docs.columns))
+    return out.select(*(size.cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else F.col(x) for x in docs.columns))
