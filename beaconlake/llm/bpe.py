@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 SCAN_BYTES = 96
-CACHE_PIECES = 150_000
-TOGETHER = 256  # texts coded at once
+CACHE_PIECES = 60_000
+TOGETHER = 1 << 20  # characters coded at once, whole texts
 NEVER = 1 << 60
 Coded = tuple[int, str, bytes]  # number of tokens, their ids joined by commas, the bytes they decode to
 UNEVEN = regex.compile(r"\s | $").search
@@ -222,10 +222,15 @@ def encode_batches(path: str, with_ids: bool, with_text: bool) -> Callable[[Iter
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         for frame in frames:
-            counts, lists, id_hashes, decoded, text_hashes = [], [], [], [], []
             texts = [x if isinstance(x, str) else "" for x in frame["text"]]
-            for start in range(0, len(texts), TOGETHER):
-                for chunks in bpe.code(texts[start : start + TOGETHER]):
+            start = 0
+            while start < len(texts):
+                stop, size = start + 1, len(texts[start])
+                while stop < len(texts) and size + len(texts[stop]) <= TOGETHER:
+                    size += len(texts[stop])
+                    stop += 1
+                counts, lists, id_hashes, decoded, text_hashes = [], [], [], [], []
+                for chunks in bpe.code(texts[start:stop]):
                     joined = ",".join([c[1] for c in chunks])
                     back = b"".join([c[2] for c in chunks]).decode("utf-8", "replace").encode()
                     counts.append(sum([c[0] for c in chunks]))
@@ -235,8 +240,9 @@ def encode_batches(path: str, with_ids: bool, with_text: bool) -> Callable[[Iter
                         lists.append(np.array(joined.split(","), dtype=np.int32) if joined else [])
                     if with_text:
                         decoded.append(back.decode())
-            out = {"doc_id": frame["doc_id"], "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
-            yield pd.DataFrame(out | ({"ids": lists} if with_ids else {}) | ({"decoded": decoded} if with_text else {}))
+                out = {"doc_id": frame["doc_id"].iloc[start:stop].reset_index(drop=True), "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
+                yield pd.DataFrame(out | ({"ids": lists} if with_ids else {}) | ({"decoded": decoded} if with_text else {}))
+                start = stop
 
     return run
 
