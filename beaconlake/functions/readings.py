@@ -219,15 +219,13 @@ def stage_of_event(r: Readers, runtime: Column) -> Column:
 def gpu_memory_sample(r: Readers) -> Column:
     """struct of the usable readings of a GPU memory sample, or null for other events."""
 
-    def reading(key):  # safe integer >= 0
-        return F.when(r.count(key) <= 2**53 - 1, r.count(key))
-
+    reading = r.count  # whole number >= 0, exact as BIGINT
     status, samples = r.name("status"), reading("samples")
     usable = F.coalesce(status == "ok", F.lit(True)) & ~F.coalesce(samples == 0, F.lit(False))
     dedicated, shared = F.when(usable, reading("dedicated_bytes")), F.when(usable, reading("shared_bytes"))
     threshold, baseline = reading("spill_threshold_bytes"), reading("shared_baseline_bytes")
     assumed = F.when(r.has("shared_baseline_bytes"), baseline).otherwise(F.lit(0).cast("bigint"))
-    limit = F.when(threshold + assumed <= 2**53 - 1, threshold + assumed)
+    limit = F.try_add(threshold, assumed)
     spilled = F.when(usable, F.coalesce(r.flag("spilled"), shared > limit))
     context = reading("fitted_ctx")
     return F.when(

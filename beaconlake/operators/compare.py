@@ -189,7 +189,6 @@ def metric_deltas(units: DataFrame, alignment: DataFrame | None = None) -> DataF
 # Facts that name the subject of a finding, in signature order.
 SIGNATURE_FACTS = ("scope", "budget", "task", "actor", "tool", "models", "targets", "request_id", "kind", "device_id")
 LIST_FACTS = ("models", "targets")
-MAX_SIGNATURE_ITEMS = 32
 
 
 def finding_signatures(found: Found, subject_map: DataFrame | None = None) -> DataFrame:
@@ -209,10 +208,10 @@ def finding_signatures(found: Found, subject_map: DataFrame | None = None) -> Da
         if subject_map is not None:
             items = items.join(subject_map.select(REC, "subject", "mapped"), [REC, "subject"], "left").withColumn("subject", F.coalesce("mapped", "subject"))
         distinct = items.where("subject <> ''").select(REC, "finding_id", "fact", "subject").distinct()
-        # Only the first items are kept per finding, so the ranks stop early.
-        kept = _first_items(distinct)
-        lists = kept.groupBy(REC, "finding_id").agg(
-            F.max("fact").alias("__list"), F.array_join(F.sort_array(F.collect_list("subject")), ",").alias("__items")
+        # Two sums over digests stand for the whole list: no order, no limit, combined map-side.
+        part = lambda start: F.sum(F.conv(F.substring(F.md5(F.col("subject").cast("binary")), start, 8), 16, 10).cast("bigint"))
+        lists = distinct.groupBy(REC, "finding_id").agg(
+            F.max("fact").alias("__list"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1).cast("string"), part(9).cast("string")).alias("__items")
         )
         findings = findings.join(lists, [REC, "finding_id"], "left")
     parts = [F.col("kind")]
@@ -227,11 +226,6 @@ def finding_signatures(found: Found, subject_map: DataFrame | None = None) -> Da
     return signed.drop("__mapped", "__list", "__items")
 
 
-def _first_items(items: DataFrame) -> DataFrame:
-    w = Window.partitionBy(REC, "finding_id", "fact").orderBy("subject")
-    return items.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= MAX_SIGNATURE_ITEMS).drop("__rank")
-
-
 def diff_findings(findings: DataFrame) -> DataFrame:
     """Added, resolved and persisting findings of signed findings with ``pair_id`` and ``side``.
 

@@ -93,10 +93,6 @@ class Found:
 # -- building blocks ----------------------------------------------------------
 
 
-def percent(fraction: Column) -> Column:
-    return F.concat(F.format_string("%.1f", fraction * 100), F.lit("%"))
-
-
 def round_ms(ns: Column) -> Column:
     return F.round(ns / 1e6).cast("bigint")
 
@@ -111,13 +107,13 @@ def _say(*parts: str | Column) -> Column:
 
 
 def finding_rows(
-    rows: DataFrame, kind: str, severity: Column, summary: Column, facts: dict[str, Column], provenance: str = "derived", events: Column | None = None
+    rows: DataFrame, kind: str, severity: Column, facts: dict[str, Column], provenance: str = "derived", events: Column | None = None
 ) -> DataFrame:
     """``rows`` must carry recording_id, finding_id, start_ns and end_ns."""
     pairs = [c for key, value in facts.items() for c in (F.lit(key), value.cast("string"))]
     fact_map = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
     return rows.select(
-        REC, "finding_id", F.lit(kind).alias("kind"), severity.alias("severity"), "start_ns", "end_ns", summary.alias("summary"),
+        REC, "finding_id", F.lit(kind).alias("kind"), severity.alias("severity"), "start_ns", "end_ns",
         F.lit(provenance).alias("provenance"), fact_map.alias("facts"), (events if events is not None else F.lit(1)).cast("bigint").alias("evidence_count"),
     )
 
@@ -149,7 +145,7 @@ def _subjects(members: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def _burst_found(
-    rows: DataFrame, keys: list[str], rule: Burst, kind: str, part: str, facts: Callable[[], dict[str, Column]], summary: Callable[[Burst], Column],
+    rows: DataFrame, keys: list[str], rule: Burst, kind: str, part: str, facts: Callable[[], dict[str, Column]],
     aggregates: Iterable[Column] = (), severity: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, members) of the bursts of ``rows``."""
@@ -158,7 +154,7 @@ def _burst_found(
         F.count(F.lit(1)).alias("n"), F.min("mono_ns").alias("start_ns"), F.max("mono_ns").alias("end_ns"), *aggregates
     ).withColumn("span_ms", round_ms(F.col("end_ns") - F.col("start_ns")))
     level = severity if severity is not None else F.when(F.col("n") >= rule.count * 2, "critical").otherwise("warning")
-    return finding_rows(stats, kind, level, summary(rule), facts(), events=F.col("n")), members
+    return finding_rows(stats, kind, level, facts(), events=F.col("n")), members
 
 
 def _peak(value: str, *columns: str) -> Column:
@@ -177,9 +173,7 @@ def budget_pressure(events: DataFrame, config: Config = Config()) -> Found:
     )
     reported = _single(guard, kind)
     level = F.when(F.col("f").isNull(), "warning").otherwise(F.coalesce(R.severity_for(F.col("f"), cfg.warn, cfg.critical), F.lit("info")))
-    at = F.when(F.col("f").isNull(), F.lit("")).otherwise(_say(" at ", percent(F.col("f")), " used"))
-    text = _say("Producer guard reported ", F.col("budget"), " budget pressure", at, ".")
-    guards = Found(finding_rows(reported, kind, level, text, {"budget": F.col("budget"), "used_fraction": F.col("f")}, "producer-reported"), _cited(reported))
+    guards = Found(finding_rows(reported, kind, level, {"budget": F.col("budget"), "used_fraction": F.col("f")}, "producer-reported"), _cited(reported))
 
     used = r.num("used_tokens", "context_tokens", "tokens_used")
     limit = r.num("limit_tokens", "context_limit", "max_tokens", "context_window")
@@ -190,16 +184,12 @@ def budget_pressure(events: DataFrame, config: Config = Config()) -> Found:
     stats = members.groupBy(REC, "scope", "finding_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("mono_ns").alias("start_ns"), F.max("mono_ns").alias("end_ns"), _peak("fraction", "used", "limit")
     )
-    text = _say(
-        f"Context usage stayed at or above {cfg.warn * 100:.1f}% for ", F.col("n"), " sample(s) in ", F.col("scope"), "; peak ",
-        _plain(F.col("peak.used")), "/", _plain(F.col("peak.limit")), " tokens (", percent(F.col("peak.fraction")), ").",
-    )
     facts = {
         "scope": F.col("scope"), "samples": F.col("n"), "peak_used_tokens": _plain(F.col("peak.used")), "limit_tokens": _plain(F.col("peak.limit")),
         "peak_fraction": F.col("peak.fraction"),
     }
     level = F.coalesce(R.severity_for(F.col("peak.fraction"), cfg.warn, cfg.critical), F.lit("warning"))
-    return _join(guards, Found(finding_rows(stats, kind, level, text, facts, events=F.col("n")), _cited(members)))
+    return _join(guards, Found(finding_rows(stats, kind, level, facts, events=F.col("n")), _cited(members)))
 
 
 def resource_pressure(events: DataFrame, config: Config = Config()) -> Found:
@@ -212,27 +202,19 @@ def resource_pressure(events: DataFrame, config: Config = Config()) -> Found:
     stats = members.groupBy(REC, "scope", "finding_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("mono_ns").alias("start_ns"), F.max("mono_ns").alias("end_ns"), _peak("fraction", "used", "total")
     )
-    gib = lambda c: F.format_string("%.2f GiB", F.col(c) / 2.0**30)
-    size = F.when(F.col("peak.used").isNotNull() & F.col("peak.total").isNotNull(), _say(" (", gib("peak.used"), " of ", gib("peak.total"), ")")).otherwise("")
-    text = _say(
-        F.col("scope"), f" memory at or above {cfg.warn * 100:.1f}% for ", F.col("n"), " sample(s); peak ", percent(F.col("peak.fraction")), size, "."
-    )
     facts = {"scope": F.col("scope"), "samples": F.col("n"), "peak_fraction": F.col("peak.fraction")}
     level = F.coalesce(R.severity_for(F.col("peak.fraction"), cfg.warn, cfg.critical), F.lit("warning"))
-    derived = Found(finding_rows(stats, kind, level, text, facts, events=F.col("n")), _cited(members))
+    derived = Found(finding_rows(stats, kind, level, facts, events=F.col("n")), _cited(members))
 
     kv = _single(events.where(F.col("event_type") == "kv.pressure").withColumn("o", r.num("occupancy", "used_fraction")), kind)
     level = F.when(F.col("o").isNull(), "warning").otherwise(F.coalesce(R.severity_for(F.col("o"), cfg.warn, cfg.critical), F.lit("info")))
-    where = F.coalesce(_say(" on ", R.filled("device_id")), F.lit(""))
-    at = F.coalesce(_say(" at ", percent(F.col("o")), " occupancy"), F.lit(""))
-    text = _say("Producer reported KV cache pressure", at, where, ".")
-    return _join(derived, Found(finding_rows(kv, kind, level, text, {"occupancy": F.col("o")}, "producer-reported"), _cited(kv)))
+    return _join(derived, Found(finding_rows(kv, kind, level, {"occupancy": F.col("o")}, "producer-reported"), _cited(kv)))
 
 
 def pair_compactions(events: DataFrame) -> DataFrame:
     """Compaction events per scope; an end carries the latest open start (``s_*``), an unended start has ``dangling``."""
     r = Readers(events)
-    step = F.col("event_type").substr(F.lit(20), F.lit(40))
+    step = F.substring_index("event_type", ".", -1)
     rows = events.where(F.col("event_type").startswith("context.compaction.")).select(
         REC, "mono_ns", "sequence", "event_id", R.scope_key(r).alias("scope"), step.alias("step"),
         r.num("tokens_before", "before_tokens").alias("before"), r.num("tokens_after", "after_tokens").alias("after"),
@@ -258,17 +240,9 @@ def compaction(events: DataFrame, config: Config = Config()) -> Found:
     took = F.when(done & F.col("start").isNotNull(), round_ms(F.col("mono_ns") - F.col("start.mono_ns")))
     before, after = F.coalesce(F.col("before"), F.col("start.before")), F.col("after")
     both = done & before.isNotNull() & after.isNotNull()
-    detail = F.concat(
-        F.coalesce(_say(" in ", took, " ms"), F.lit("")), F.coalesce(F.when(both, _say("; ", _plain(before), " -> ", _plain(after), " tokens")), F.lit(""))
-    )
-    text = (
-        F.when(done, _say("Context compaction completed in ", F.col("scope"), detail, "."))
-        .when(F.col("step") == "failed", _say("Context compaction failed in ", F.col("scope"), "."))
-        .otherwise(_say("Context compaction started in ", F.col("scope"), " with no completion observed in this stream."))
-    )
     facts = {"scope": F.col("scope"), "duration_ms": took, "tokens_before": F.when(both, _plain(before)), "tokens_after": F.when(both, _plain(after))}
     cited = F.when(F.col("start").isNotNull(), 2).otherwise(1)
-    rows = finding_rows(ends, kind, F.when(done, "info").otherwise("warning"), text, facts, events=cited)
+    rows = finding_rows(ends, kind, F.when(done, "info").otherwise("warning"), facts, events=cited)
     opened = ends.where("start IS NOT NULL").select(REC, "finding_id", "start.event_id", "start.mono_ns", "start.sequence")
     single = Found(rows, _cited(ends).unionByName(opened))
 
@@ -276,7 +250,6 @@ def compaction(events: DataFrame, config: Config = Config()) -> Found:
     completed = pairs.where(done).select(REC, "scope", "mono_ns", "sequence", "event_id")
     churn, members = _burst_found(
         completed, [REC, "scope"], rule, kind, "churn:", lambda: {"scope": F.col("scope"), "compactions": F.col("n")},
-        lambda b: _say(F.col("n"), " compactions completed in ", F.col("scope"), " within ", F.col("span_ms"), f" ms (threshold {b.count} per {b.window_ms} ms)."),
         severity=F.lit("warning"),
     )
     return _join(single, Found(churn, _cited(members)))
@@ -285,8 +258,7 @@ def compaction(events: DataFrame, config: Config = Config()) -> Found:
 def no_progress(events: DataFrame, config: Config = Config()) -> Found:
     kind, least, r = "no-progress-loop", config.no_progress_repeats, Readers(events)
     guard = _single(events.where(F.col("event_type") == "guard.no_progress"), kind)
-    text = _say("Producer guard reported no progress", F.coalesce(_say(" for ", R.filled("agent_id")), F.lit("")), ".")
-    found = [Found(finding_rows(guard, kind, F.lit("warning"), text, {}, "producer-reported"), _cited(guard))]
+    found = [Found(finding_rows(guard, kind, F.lit("warning"), {}, "producer-reported"), _cited(guard))]
     outcomes = events.where(F.col("event_type").isin("tool.completed", "tool.failed")).select(
         REC, r.name("tool_call_id").alias("call_id"), "event_id", "mono_ns", "sequence"
     ).where("call_id IS NOT NULL")
@@ -305,14 +277,11 @@ def no_progress(events: DataFrame, config: Config = Config()) -> Found:
         if phrase is None:
             ids = cited.where("call_id IS NOT NULL").select(REC, "finding_id", "call_id").distinct()
             evidence = evidence.unionByName(ids.join(outcomes, [REC, "call_id"]).select(*EVIDENCE))
-            text = _say(F.col("actor"), " called ", F.col("tool"), " ", F.col("n"), " times consecutively with identical input.")
-        else:
-            text = _say(F.col("actor"), " received identical ", F.col("tool"), " output ", F.col("n"), " times consecutively.")
         spans = evidence.groupBy(REC, "finding_id").agg(F.min("mono_ns").alias("lo"), F.max("mono_ns").alias("hi"), F.count(F.lit(1)).alias("m"))
         full = stats.join(spans, [REC, "finding_id"]).withColumn("start_ns", F.col("lo")).withColumn("end_ns", F.col("hi"))
         level = F.when(F.col("n") >= least * 2, "critical").otherwise("warning")
         facts = {"actor": F.col("actor"), "tool": F.col("tool"), "repeats": F.col("n")}
-        found.append(Found(finding_rows(full, kind, level, text, facts, events=F.col("m")), evidence))
+        found.append(Found(finding_rows(full, kind, level, facts, events=F.col("m")), evidence))
     return _join(*found)
 
 
@@ -325,7 +294,7 @@ def duplicate_worker(events: DataFrame, config: Config = Config()) -> Found:
     kind, r = "duplicate-worker", Readers(events)
     guard = _single(events.where(F.col("event_type") == "guard.duplicate_work"), kind)
     guards = Found(
-        finding_rows(guard, kind, F.lit("warning"), F.lit("Producer guard reported duplicate work."), {}, "producer-reported"), _cited(guard),
+        finding_rows(guard, kind, F.lit("warning"), {}, "producer-reported"), _cited(guard),
         guard.select(REC, "finding_id", F.lit("agents").alias("fact"), F.lit("").alias("subject"), ord_col().alias("first_ord")).where(F.lit(False)),
     )
     spawn = F.col("event_type") == "agent.spawned"
@@ -359,8 +328,7 @@ def duplicate_worker(events: DataFrame, config: Config = Config()) -> Found:
     agents = subjects.groupBy(REC, "finding_id").agg(F.count(F.lit(1)).alias("agents"))
     full = stats.join(agents, [REC, "finding_id"])
     level = F.when(F.col("agents") >= 3, "critical").otherwise("warning")
-    text = _say(F.col("agents"), " agents were active concurrently for the same task \"", F.col("task"), "\".")
-    rows = finding_rows(full, kind, level, text, {"task": F.col("task"), "agents": F.col("agents")}, events=F.col("n"))
+    rows = finding_rows(full, kind, level, {"task": F.col("task"), "agents": F.col("agents")}, events=F.col("n"))
     return _join(guards, Found(rows, _cited(named), subjects))
 
 
@@ -380,14 +348,11 @@ def _with_subjects(members: DataFrame, kind: str, rule: Burst, key: str, subject
         F.count(F.lit(1)).alias("n"), F.min("mono_ns").alias("start_ns"), F.max("mono_ns").alias("end_ns"), *[c.alias(k) for k, c in extra.items()]
     ).join(distinct, [REC, "finding_id"]).withColumn("span_ms", round_ms(F.col("end_ns") - F.col("start_ns")))
     level = F.when(F.col("n") >= rule.count * 2, "critical").otherwise("warning")
-    limit = f"(threshold {rule.count} per {rule.window_ms} ms)."
     if kind == "model-churn":
-        text = _say(F.col("loads"), " model load(s) and ", F.col("n") - F.col("loads"), " unload(s) within ", F.col("span_ms"), " ms across ", F.col("subjects"), f" model instance(s) {limit}")
         facts = {"loads": F.col("loads"), "unloads": F.col("n") - F.col("loads"), "span_ms": F.col("span_ms"), f"{key}_count": F.col("subjects")}
     else:
-        text = _say(F.col("n"), " retries scheduled within ", F.col("span_ms"), " ms across ", F.col("subjects"), f" target(s) {limit}")
         facts = {what: F.col("n"), "span_ms": F.col("span_ms"), f"{key}_count": F.col("subjects")}
-    return Found(finding_rows(stats, kind, level, text, facts, events=F.col("n")), _cited(members), subjects)
+    return Found(finding_rows(stats, kind, level, facts, events=F.col("n")), _cited(members), subjects)
 
 
 def model_churn(events: DataFrame, config: Config = Config()) -> Found:
@@ -415,9 +380,8 @@ def error_burst(events: DataFrame, config: Config = Config()) -> Found:
         F.array_join(F.transform(ranked, lambda x: F.concat(x["c"].cast("string"), F.lit("x "), x["t"])), ", ").alias("breakdown"),
     ).withColumn("span_ms", round_ms(F.col("end_ns") - F.col("start_ns")))
     level = F.when(F.col("n") >= rule.count * 2, "critical").otherwise("warning")
-    text = _say(F.col("n"), " failures within ", F.col("span_ms"), " ms: ", F.col("breakdown"), f" (threshold {rule.count} per {rule.window_ms} ms).")
     facts = {"failures": F.col("n"), "span_ms": F.col("span_ms"), "breakdown": F.col("breakdown")}
-    return Found(finding_rows(stats, kind, level, text, facts, events=F.col("n")), _cited(members))
+    return Found(finding_rows(stats, kind, level, facts, events=F.col("n")), _cited(members))
 
 
 def hit_rate_windows(events: DataFrame, window_ns: int, min_lookups: int) -> tuple[DataFrame, DataFrame]:
@@ -447,19 +411,14 @@ def cache_thrash(events: DataFrame, config: Config = Config()) -> Found:
     members = placed.join(covers, [REC, "scope", "w"])
     ends = members.groupBy(REC, "finding_id").agg(F.min("mono_ns").alias("start_ns"), F.max("mono_ns").alias("end_ns"), F.count(F.lit(1)).alias("n"))
     stats = judged.join(ends, [REC, "finding_id"])
-    text = _say(
-        "KV hit rate in ", F.col("scope"), " fell to ", percent(F.col("rate")), " (", F.col("hits"), "/", F.col("lookups"), " lookups) from a baseline of ",
-        percent(F.col("baseline")), " over the previous ", F.size("prior"), f" window(s) of {cfg.window_ms} ms.",
-    )
     facts = {"scope": F.col("scope"), "hit_rate": F.col("rate"), "baseline_hit_rate": F.col("baseline"), "lookups": F.col("lookups")}
     level = F.when(F.col("rate") == 0, "critical").otherwise("warning")
-    collapse = Found(finding_rows(stats, kind, level, text, facts, events=F.col("n")), _cited(members))
+    collapse = Found(finding_rows(stats, kind, level, facts, events=F.col("n")), _cited(members))
 
     rule = Burst(cfg.eviction_count, cfg.window_ms)
     evicted = events.where(F.col("event_type") == "kv.evicted").select(REC, "mono_ns", "sequence", "event_id")
     rows, members = _burst_found(
         evicted, [REC], rule, kind, "evictions:", lambda: {"evictions": F.col("n")},
-        lambda b: _say(F.col("n"), " KV evictions within ", F.col("span_ms"), f" ms (threshold {b.count} per {b.window_ms} ms)."),
     )
     return _join(collapse, Found(rows, _cited(members)))
 
@@ -488,18 +447,13 @@ def latency_outlier(events: DataFrame, config: Config = Config()) -> Found:
         (F.col("duration_ms") > F.col("p95") * cfg.factor) & (F.col("duration_ms") - F.col("p95") >= cfg.min_excess_ms)
     )
     rows = judged.withColumn("finding_id", _id(kind, F.col("s_id"))).withColumn("start_ns", F.col("s_ns")).withColumn("end_ns", F.col("mono_ns"))
-    ratio = F.when(F.col("p95") > 0, F.format_string("%.1fx", F.col("duration_ms") / F.nullif("p95", F.lit(0.0)))).otherwise("far above")
-    text = _say(
-        "Request ", F.col("request_id"), " took ", F.round("duration_ms").cast("bigint"), " ms, ", ratio, " the rolling p95 of ",
-        F.round("p95").cast("bigint"), " ms over the previous ", F.col("n"), " request(s).",
-    )
     facts = {
         "request_id": F.col("request_id"), "duration_ms": F.round("duration_ms").cast("bigint"), "baseline_p95_ms": F.round("p95").cast("bigint"),
         "baseline_requests": F.col("n"), "outcome": F.substring_index("event_type", ".", -1),
     }
     level = F.when(F.col("duration_ms") > F.col("p95") * cfg.factor * 2, "critical").otherwise("warning")
     opened = rows.select(REC, "finding_id", F.col("s_id").alias("event_id"), F.col("s_ns").alias("mono_ns"), F.col("s_seq").alias("sequence"))
-    return Found(finding_rows(rows, kind, level, text, facts, events=F.lit(2)), _cited(rows).unionByName(opened))
+    return Found(finding_rows(rows, kind, level, facts, events=F.lit(2)), _cited(rows).unionByName(opened))
 
 
 DETECTORS: dict[str, Callable[[DataFrame, Config], Found]] = {

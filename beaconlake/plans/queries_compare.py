@@ -185,8 +185,8 @@ def diff_findings(spark, d):
  b1 AS (SELECT *, COUNT(*) OVER (PARTITION BY recording_id ORDER BY mono_ns RANGE BETWEEN CURRENT ROW AND 60000000000 FOLLOWING) AS fwd FROM f),
  b2 AS (SELECT *, MAX(fwd) OVER (PARTITION BY recording_id ORDER BY mono_ns RANGE BETWEEN 60000000000 PRECEDING AND CURRENT ROW) >= 3 AS mk FROM b1),
  b3 AS (SELECT *, CASE WHEN mk AND (NOT COALESCE(LAG(mk) OVER w, FALSE) OR mono_ns - LAG(mono_ns) OVER w > 60000000000) THEN mono_ns END AS st FROM b2 WINDOW w AS (PARTITION BY recording_id ORDER BY mono_ns)),
- b4 AS (SELECT *, MAX(st) OVER (PARTITION BY recording_id ORDER BY mono_ns) AS isl FROM b3 WHERE mk), g AS (SELECT recording_id, isl, arg_min(event_id, mono_ns) AS fe, list_sort(list(DISTINCT tg))[1:32] AS l FROM b4 GROUP BY 1, 2)
- SELECT recording_id, 'retry-storm:' || fe AS finding_id, 'retry-storm|targets=' || array_to_string(l, ',') AS signature FROM g""",
+ b4 AS (SELECT *, MAX(st) OVER (PARTITION BY recording_id ORDER BY mono_ns) AS isl FROM b3 WHERE mk), g AS (SELECT recording_id, isl, arg_min(event_id, mono_ns) AS fe, list(DISTINCT tg) AS l FROM b4 GROUP BY 1, 2)
+ SELECT recording_id, 'retry-storm:' || fe AS finding_id, 'retry-storm|targets=' || len(l) || ':' || list_sum([CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) for x in l]) || ':' || list_sum([CAST('0x' || substr(md5(x), 9, 8) AS BIGINT) for x in l]) AS signature FROM g""",
 )
 def signature_list(spark, d):
     config = D.Config().override(retry_storm={"window_ms": 60_000})

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from beaconlake.dialect import DEFAULT, Dialect
 from beaconlake.schema import ID_FIELDS, ORD, SAMPLING_LEVELS
 
-MAX_LINE_CHARS = 16 * 1024 * 1024
-_BLANKS = " \t\r\n\f\x0b"
+# Blanks at the edges of a line, the byte-order mark and Unicode spaces included.
+_BLANKS = " \t\r\n\f\x0b\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _DATE_TIME = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
@@ -160,10 +160,10 @@ def envelope_columns() -> list[Column]:
     ]
 
 
-def validate(lines: DataFrame, dialect: Dialect = DEFAULT, max_chars: int = MAX_LINE_CHARS) -> DataFrame:
+def validate(lines: DataFrame, dialect: Dialect = DEFAULT, max_chars: int | None = None) -> DataFrame:
     """Lines with the parsed value ``v``, whether they are manifests, and the reason to reject them."""
     trimmed = lines.withColumn("raw", F.btrim("value", F.lit(_BLANKS))).where(F.col("raw") != "").drop("value")
-    long = F.char_length("raw") > max_chars
+    long = F.char_length("raw") > max_chars if max_chars else F.lit(False)
     parsed = trimmed.withColumn("too_long", long).withColumn("v", F.when(~F.col("too_long"), F.try_parse_json("raw")))
     record = (_text("format") == dialect.recording_format) & F.col("o_top")
     judged = _with_parts(parsed).withColumn("is_manifest", F.coalesce(record, F.lit(False)))
@@ -181,12 +181,12 @@ def validate(lines: DataFrame, dialect: Dialect = DEFAULT, max_chars: int = MAX_
 
 def _split(judged: DataFrame) -> Parsed:
     events = judged.where("reason IS NULL AND NOT is_manifest").select("recording_id", *envelope_columns(), "path", "line", "raw")
-    rejected = judged.where("reason IS NOT NULL").select("recording_id", "path", "line", "reason", F.when(~F.col("too_long"), F.col("raw")).alias("raw"))
+    rejected = judged.where("reason IS NOT NULL").select("recording_id", "path", "line", "reason", "raw")
     manifests = judged.where("reason IS NULL AND is_manifest").select("recording_id", "path", "line", F.col("v").alias("manifest"), "raw")
     return Parsed(events, rejected, manifests)
 
 
-def parse_lines(lines: DataFrame, dialect: Dialect = DEFAULT, adapters: tuple[Callable[[DataFrame], DataFrame], ...] = (), max_chars: int = MAX_LINE_CHARS) -> Parsed:
+def parse_lines(lines: DataFrame, dialect: Dialect = DEFAULT, adapters: tuple[Callable[[DataFrame], DataFrame], ...] = (), max_chars: int | None = None) -> Parsed:
     """Parse, adapt and validate lines. Adapters map ``value`` rows before validation; fan-out is an explode."""
     for adapt in adapters:
         lines = adapt(lines)
@@ -195,7 +195,7 @@ def parse_lines(lines: DataFrame, dialect: Dialect = DEFAULT, adapters: tuple[Ca
 
 def load_recording(
     spark: SparkSession, path: str | list[str], dialect: Dialect = DEFAULT, adapters: tuple[Callable[[DataFrame], DataFrame], ...] = (),
-    max_chars: int = MAX_LINE_CHARS, recording_id: Callable[[Column], Column] = file_stem,
+    max_chars: int | None = None, recording_id: Callable[[Column], Column] = file_stem,
 ) -> Parsed:
     """Recordings at a path. A packed (zip) container is refused as one rejected line."""
     lines = read_lines(spark, path, recording_id)

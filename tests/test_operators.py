@@ -74,42 +74,34 @@ def test_gpu_context_null_is_a_value_and_counts_do_not_inflate(spark):
     assert gpu.gpu_warnings(ev).first()["count"] == 7
 
 
-def fold_duplicate_workers(rows):
-    """The rule row by row: (task, cited ids) of every cluster."""
-    active, task_of, clusters, found = {}, {}, {}, []
-    for eid, kind, agent, task in rows:
-        if kind == "agent.spawned":
-            task_of[agent] = task
-            running = active.setdefault(task, {})
-            if running and agent not in running:
-                clusters.setdefault(task, list(running.values())).append(eid)
-            running[agent] = eid
-        elif agent in task_of:
-            task = task_of[agent]
-            running = active.get(task, {})
-            running.pop(agent, None)
-            if task in clusters:
-                clusters[task].append(eid)
-            if not running and task in clusters:
-                found.append((task, frozenset(clusters.pop(task))))
-    return set(found) | {(t, frozenset(c)) for t, c in clusters.items()}
-
-
-def test_duplicate_workers_against_a_fold(spark):
-    rng = random.Random(7)
-    rows, made = [], []
-    for i in range(250):
-        kind = rng.choice(["agent.spawned", "agent.completed", "agent.cancelled"])
-        agent, task = f"a{rng.randrange(5)}", f"t{rng.randrange(3)}"
-        e = event(i * 1_500, kind, {"task": task} if kind == "agent.spawned" else {}, agent_id=agent)
-        rows.append((e["event_id"], kind, agent, task))
-        made.append(e)
+def test_duplicate_workers_by_hand(spark):
+    """One task each: agents that overlap, agents that only touch, a second cluster after all have ended, one that stays open."""
+    steps = {
+        "overlap": [("s", "a"), ("s", "b"), ("e", "a"), ("e", "b")], "touch": [("s", "c"), ("e", "c"), ("s", "d"), ("e", "d")],
+        "twice": [("s", "f"), ("s", "g"), ("e", "g"), ("e", "f"), ("s", "f2"), ("s", "g2"), ("e", "f2"), ("e", "g2")], "open": [("s", "h"), ("s", "i"), ("s", "j"), ("e", "h")],
+    }
+    cited = {("overlap", 0): range(4), ("twice", 0): range(4), ("twice", 4): range(4, 8), ("open", 0): range(4)}
+    made, name, at = [], {}, 0
+    for task, todo in steps.items():
+        for i, (step, agent) in enumerate(todo):
+            at += 1_500
+            made.append(event(at, "agent.spawned" if step == "s" else "agent.completed", {"task": task} if step == "s" else {}, agent_id=agent))
+            name[(task, i)] = made[-1]["event_id"]
     found = D.duplicate_worker(load(spark, made))
     task = {r["finding_id"]: r["facts"]["task"] for r in found.findings.collect()}
-    cited = {}
+    got = {}
     for r in found.evidence.collect():
-        cited.setdefault(r["finding_id"], set()).add(r["event_id"])
-    assert {(task[f], frozenset(ids)) for f, ids in cited.items()} == fold_duplicate_workers(rows)
+        got.setdefault(r["finding_id"], set()).add(r["event_id"])
+    assert {(task[f], frozenset(ids)) for f, ids in got.items()} == {(t, frozenset(name[(t, i)] for i in places)) for (t, _), places in cited.items()}
+
+
+def test_line_edges(spark):
+    from beaconlake.sources.ndjson import parse_lines
+
+    rows = [("r", "p", 1, "\ufeff{\"a\": 1}\u00a0"), ("r", "p", 2, "\u00a0\ufeff"), ("r", "p", 3, "{")]
+    lines = spark.createDataFrame(rows, "recording_id string, path string, line bigint, value string")
+    rejected = {r["line"]: r["reason"] for r in parse_lines(lines).rejected.collect()}
+    assert set(rejected) == {1, 3} and rejected[3] == "invalid JSON" and rejected[1] != "invalid JSON"
 
 
 def test_stage_goes_back_only_on_preemption(spark):
