@@ -186,8 +186,9 @@ def mentions(events: DataFrame) -> DataFrame:
 
 
 def node_mentions(stated: DataFrame) -> DataFrame:
-    rows = stated.select(REC, "mono_ns", "sequence", "event_id", F.explode("nodes").alias("n"))
-    return rows.select(REC, "mono_ns", "sequence", "event_id", F.concat("n.kind", F.lit(":"), "n.entity").alias("node_id"), "n.*")
+    """Nodes stated by events; ``place`` orders the mentions of one event."""
+    rows = stated.select(REC, "mono_ns", "sequence", "event_id", F.posexplode("nodes").alias("place", "n"))
+    return rows.select(REC, "mono_ns", "sequence", "event_id", "place", F.concat("n.kind", F.lit(":"), "n.entity").alias("node_id"), "n.*")
 
 
 def edge_mentions(stated: DataFrame) -> DataFrame:
@@ -262,15 +263,23 @@ def evidence_for(stated: DataFrame, selected_id: str) -> DataFrame:
     return nodes.unionByName(edge_mentions(stated).where(F.col("edge_id") == selected_id).select(*columns)).distinct()
 
 
-def delegation_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def agent_order(stated: DataFrame) -> DataFrame:
+    """Agents with ``seen``, the place of their first mention: replay order, then the order inside the event."""
+    seen = F.struct("mono_ns", "sequence", "event_id", "place", "node_id")
+    return node_mentions(stated).where("kind = 'agent'").groupBy(REC, "node_id").agg(F.min(seen).alias("seen"))
+
+
+def delegation_depth(stated: DataFrame) -> DataFrame:
     """Depth of every agent below the delegation roots (depth 0).
 
-    Breadth-first over the edge table, one join per level. Agents that no root
+    Breadth-first over the delegations, one join per level. Agents that no root
     reaches hang on a cycle; each of them belongs to the first-seen agent that
     reaches it, found by spreading the smallest first-seen order along the edges.
+    A spawn mentions the spawned agent before the one that spawned it.
     """
-    agents = cut_lineage(nodes.where("kind = 'agent'").select(REC, "node_id", F.struct("first_ns", "node_id").alias("seen")))
-    links = cut_lineage(edges.where("kind = 'delegation'").select(REC, "source", "target").distinct())
+    agents = cut_lineage(agent_order(stated))
+    spawned = stated.select(REC, F.explode("edges").alias("e")).where("e.kind = 'delegation'")
+    links = cut_lineage(spawned.select(REC, F.col("e.src").alias("source"), F.col("e.dst").alias("target")).distinct())
     children = links.select(REC, F.col("target").alias("node_id")).distinct()
     roots = agents.join(children, [REC, "node_id"], "left_anti").select(REC, "node_id", F.lit(0).alias("depth"))
     reached = _breadth_first(roots, links, None)

@@ -125,7 +125,24 @@ def message_graph(spark, d):
     return T.topology_edges(T.mentions(dt.turn_events(spark, d))).select("recording_id", "edge_id", "count", "tokens")
 
 
-@query("delegation_depth")
+# Shortest distance from any agent that nothing spawned; agents on or behind a cycle without such a root hang on the first-seen agent that
+# reaches them. Paths never repeat an agent, so the number of agents bounds their length.
+_DEPTH = """, sp AS (SELECT DISTINCT recording_id, src, dst FROM em WHERE kind = 'delegation'),
+ seen AS (SELECT recording_id, node, MIN((mono_ns, event_id, place)) AS at FROM (
+  SELECT nm.recording_id, nm.mono_ns, nm.event_id, 'agent:' || nm.ent AS node, CASE WHEN u.agent_id = nm.ent THEN 0 ELSE 1 END AS place
+  FROM nm JOIN u ON u.recording_id = nm.recording_id AND u.event_id = nm.event_id WHERE nm.kind = 'agent' AND nm.ent IS NOT NULL) GROUP BY 1, 2),
+ reach AS (SELECT recording_id, node AS top, node FROM seen UNION SELECT reach.recording_id, top, dst FROM reach JOIN sp ON sp.recording_id = reach.recording_id AND sp.src = reach.node),
+ roots AS (SELECT recording_id, node FROM seen s WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.recording_id = s.recording_id AND sp.dst = s.node)),
+ under AS (SELECT DISTINCT reach.recording_id, reach.node FROM reach JOIN roots ON roots.recording_id = reach.recording_id AND roots.node = reach.top),
+ cyc AS (SELECT reach.recording_id, reach.node, arg_min(reach.top, t.at) AS top FROM reach JOIN seen t ON t.recording_id = reach.recording_id AND t.node = reach.top
+  WHERE NOT EXISTS (SELECT 1 FROM under x WHERE x.recording_id = reach.recording_id AND x.node = reach.node) GROUP BY 1, 2),
+ own AS (SELECT recording_id, node, '' AS top FROM under UNION ALL SELECT recording_id, node, top FROM cyc),
+ walk AS (SELECT recording_id, node, top, 0 AS depth FROM own WHERE node = top OR (top = '' AND EXISTS (SELECT 1 FROM roots r WHERE r.recording_id = own.recording_id AND r.node = own.node))
+  UNION SELECT w.recording_id, sp.dst, w.top, w.depth + 1 FROM walk w JOIN sp ON sp.recording_id = w.recording_id AND sp.src = w.node JOIN own o ON o.recording_id = w.recording_id AND o.node = sp.dst AND o.top = w.top
+  WHERE w.depth < (SELECT COUNT(*) FROM seen s WHERE s.recording_id = w.recording_id))
+ SELECT recording_id, node AS node_id, MIN(depth) AS depth FROM walk GROUP BY 1, 2"""
+
+
+@query("delegation_depth", GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + _DEPTH)
 def delegation_depth(spark, d):
-    stated = T.mentions(agents(spark, d))
-    return T.delegation_depth(T.topology_nodes(stated), T.topology_edges(stated))
+    return T.delegation_depth(T.mentions(agents(spark, d)))

@@ -179,7 +179,8 @@ def validate(lines: DataFrame, dialect: Dialect = DEFAULT, max_chars: int | None
     return once.select("*", "verdict.reason", "verdict.is_manifest").drop("verdict")
 
 
-def _split(judged: DataFrame) -> Parsed:
+def split(judged: DataFrame) -> Parsed:
+    """Events, rejected lines and manifests of the rows of :func:`validate`."""
     events = judged.where("reason IS NULL AND NOT is_manifest").select("recording_id", *envelope_columns(), "path", "line", "raw")
     rejected = judged.where("reason IS NOT NULL").select("recording_id", "path", "line", "reason", "raw")
     manifests = judged.where("reason IS NULL AND is_manifest").select("recording_id", "path", "line", F.col("v").alias("manifest"), "raw")
@@ -190,7 +191,7 @@ def parse_lines(lines: DataFrame, dialect: Dialect = DEFAULT, adapters: tuple[Ca
     """Parse, adapt and validate lines. Adapters map ``value`` rows before validation; fan-out is an explode."""
     for adapt in adapters:
         lines = adapt(lines)
-    return _split(validate(lines, dialect, max_chars))
+    return split(validate(lines, dialect, max_chars))
 
 
 def load_recording(
@@ -206,17 +207,22 @@ def load_recording(
     return Parsed(parsed.events, parsed.rejected.unionByName(refused), parsed.manifests)
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """One JSON line per event: the original text where it was kept, else the envelope as JSON."""
-    if "raw" in events.columns:
-        return events.withColumn("value", F.col("raw"))
-    hidden = {"recording_id", "path", "line", "wall_ts", "extra", "stream"}
-    return events.withColumn("value", F.to_json(F.struct(*[c for c in events.columns if c not in hidden])))
+def event_lines(events: DataFrame, dialect: Dialect = DEFAULT) -> DataFrame:
+    """One JSON line per event: the original text where it was kept, else the whole parsed object, else the envelope as JSON.
+
+    An envelope without a schema id gets the dialect's, and one without attributes an empty object, so that every line is an event again.
+    """
+    hidden = {"recording_id", "path", "line", "wall_ts", "extra", "stream", "raw", "schema", "attributes"}
+    schema = F.coalesce("schema", F.lit(dialect.schema_id)) if "schema" in events.columns else F.lit(dialect.schema_id)
+    members = [schema.alias("schema"), *[F.col(c) for c in events.columns if c not in hidden]]
+    bare = F.concat(F.expr("left(to_json(_envelope), length(to_json(_envelope)) - 1)"), F.lit(',"attributes":'), F.coalesce(F.to_json("attributes"), F.lit("{}")), F.lit("}"))
+    kept = [F.col("raw")] * ("raw" in events.columns) + [F.to_json("extra")] * ("extra" in events.columns)
+    return events.withColumn("_envelope", F.struct(*members)).withColumn("value", F.coalesce(*kept, bare)).drop("_envelope")
 
 
-def write_ndjson(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_ndjson(events: DataFrame, path: str, mode: str = "errorifexists", dialect: Dialect = DEFAULT) -> None:
     """Events as JSON lines in replay order, one folder per recording, ranged by time."""
-    lines = event_lines(events).repartitionByRange("recording_id", *ORD).sortWithinPartitions("recording_id", *ORD)
+    lines = event_lines(events, dialect).repartitionByRange("recording_id", *ORD).sortWithinPartitions("recording_id", *ORD)
     lines.select("recording_id", "value").write.mode(mode).partitionBy("recording_id").text(path)
 
 
@@ -228,7 +234,7 @@ def write_recording(events: DataFrame, path: str, acknowledge_sensitive: bool =
 
     require_acknowledged(events, acknowledge_sensitive, dialect, **selection)
     chosen = filter_range(events, **selection)
-    write_ndjson(chosen, f"{path}/events", mode)
+    write_ndjson(chosen, f"{path}/events", mode, dialect)
     facts = manifests.manifest(chosen).withColumn("format", F.lit(dialect.recording_format))
     facts.write.mode(mode).partitionBy("recording_id").json(f"{path}/manifest")
     manifests.manifest_members(chosen).write.mode(mode).partitionBy("recording_id").json(f"{path}/manifest_members")

@@ -12,9 +12,10 @@ from beaconlake.functions.attrs import Readers
 from beaconlake.operators import detectors as D
 from beaconlake.operators import gpu
 from beaconlake.operators import pipeline as P
+from beaconlake.operators import topology as T
 from beaconlake.operators.spans import request_spans
 from beaconlake.sources.ndjson import parse_lines
-from beaconlake.streaming.state import fill_holes
+from beaconlake.streaming.state import advance, fill_holes, settle
 from events import event, lines, load
 
 
@@ -124,3 +125,29 @@ def test_holes_fill_in_any_order():
             lo, hi, holes = fill_holes(lo, hi, holes, np.unique(np.array(numbers[i : i + 5])))
         seen = sorted(numbers)
         assert holes == [(a + 1, b - 1) for a, b in zip(seen, seen[1:]) if b > a + 1]
+
+
+def test_span_state_does_not_depend_on_the_order_of_arrival():
+    rows = [[1, 0, "a", 1, "output", 5, None, "p"], [2, 0, "b", 2, "start", None, None, "p"], [3, 0, "c", 3, "output", 2, None, "p"], [4, 0, "d", 4, "completed", None, 9, "p"],
+            [6, 0, "f", 6, "start", None, None, "q"], [6, 1, "g", 6, "output", 3, None, "q"], [7, 0, "h", 7, "output", None, None, "q"], [8, 0, "i", 8, "completed", None, 4, "q"], [9, 0, "j", 9, "failed", None, 7, "q"]]
+    want = {"start": [6, 0, "f"], "producer": "q", "end": [8, 0, "i", "completed", 4], "first_token_ns": 6, "tokens": 3, "chunks": 1}
+    assert advance(None, rows) == want
+    rng = random.Random(2)
+    for _ in range(200):
+        held, left, newest = {"span": None, "recent": [], "unmatched": 0}, rng.sample(rows, len(rows)), 0
+        delay = rng.choice([2, 4, 100])
+        # Rows come at most ``delay`` behind the newest one before them.
+        left.sort(key=lambda r: r[3] + rng.random() * (delay if delay == 100 else delay / 2))
+        while left:
+            n = rng.randint(1, 4)
+            span, held = settle(held, left[:n], newest - delay)
+            newest, left = max(newest, *(r[3] for r in left[:n])), left[n:]
+        assert span == want
+
+
+def test_depth_of_agents_that_spawn_each_other(spark):
+    """One event mentions the spawned agent before the one that spawned it."""
+    said = [(1, "x", "b"), (2, "b", "x"), (3, "k", "r")]
+    rows = [("rec", at, 0, f"e{at}", [("agent", child), ("agent", parent)], [("delegation", f"agent:{parent}", f"agent:{child}")]) for at, child, parent in said]
+    stated = spark.createDataFrame(rows, "recording_id string, mono_ns bigint, sequence bigint, event_id string, nodes array<struct<kind: string, entity: string>>, edges array<struct<kind: string, src: string, dst: string>>")
+    assert {r["node_id"]: r["depth"] for r in T.delegation_depth(stated).collect()} == {"agent:x": 0, "agent:b": 1, "agent:r": 0, "agent:k": 1}
