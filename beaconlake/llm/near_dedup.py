@@ -5,7 +5,8 @@ are candidates. Pairs inside a bucket are never all emitted: first every member
 likeliest registers is verified; then only buckets whose members are still in different components
 go on, ``LEADERS`` members at a time against the later members of other components, round by round until each bucket is one component or all its
 members have been leaders. The join that compares them holds the low two bits of all registers and emits only pairs whose bits agree as often as
-those of similar sets do, so no candidate near the threshold is dropped and dissimilar members of a bucket make no rows.
+those of similar sets do, so no candidate near the threshold is dropped and dissimilar members of a bucket make no rows. A pair that shares several
+buckets meets in the smallest of them only, which stays until it is one component or the pair's smaller member has been a leader there.
 """
 
 from __future__ import annotations
@@ -55,18 +56,17 @@ def sketch_batches(bands: int, rows: int) -> Batches:
     return run
 
 
-def estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+def check_batches(percent: int) -> Batches:
+    """Estimate each pair from its registers; those that may be similar are verified on their full sets."""
+
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
         regs = [np.stack([np.frombuffer(x.as_py(), dtype=np.uint16) for x in batch.column(c)]) for c in ("ra", "rb")]
         sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb")]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sketch.likely_jaccard(*regs, *sizes))], names=["a", "b", "likely"])
-
+        return batch.filter(pa.array(sketch.likely_jaccard(*regs, *sizes) >= percent / 100 - MARGIN))
 
-def verify_batches(percent: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = likely(batch) if batch.num_rows else batch
             (raw_a, at_a), (raw_b, at_b) = (sketch.text_bytes(batch.column(c)) for c in ("ta", "tb"))
             for start, stop in sketch.chunks(at_a + at_b):
                 sets = [sketch.shingles(raw[at[start] : at[stop]], at[start : stop + 1] - at[start]) for raw, at in ((raw_a, at_a), (raw_b, at_b))]
@@ -95,15 +95,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     same = ["n_shingles", "s1", "s2"]
     classes = stored(made.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.join(classes, same).filter("doc_id = rep")
-    each = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).filter("n > 1")
-    members = stored(each.join(shared, ["band", "key"]).select("band", "key", "doc_id", "lead"), "members")
-    wanted = members.select("doc_id").distinct()
-    chosen = reps.join(wanted, "doc_id", "left_semi")
-    sketches = stored(chosen.select("doc_id", "n_shingles", "regs"), "registers")
+    each = reps.select("doc_id", F.explode("bands").alias("key"))  # a key is of one band
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).filter("n > 1")
+    members = stored(each.join(shared, "key").select("key", "doc_id", "lead").dropDuplicates(["key", "doc_id"]), "members")
+    one = ["doc_id", *same]
+    chosen = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(one)
     longs = -(-bands * rows // 32)
-    bits = stored(chosen.select("doc_id", F.col("n_shingles").alias("n"), *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(longs))), "bits")
-    texts = ids.join(wanted, "doc_id", "left_semi")
+    sides = stored(chosen.select(*one, "regs", "bits").join(ids, "doc_id").dropDuplicates([*one, "text"]), "candidates")
+    bits = stored(sides.select(*one, "bits").dropDuplicates(one).select("doc_id", F.col("n_shingles").alias("n"), *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(longs))), "bits")
     expected = (1 + 3 * percent / 100) / 4
     needed = expected - DEVIATIONS * (expected * (1 - expected) / (bands * rows)) ** 0.5
     pad = longs * 32 - bands * rows  # unused places agree
@@ -115,36 +114,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     similar_size = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
 
-    def estimated(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("regs").alias("r" + x))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        found = joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimate_batches, "a bigint, b bigint, likely double")
-        return found.filter(F.col("likely") >= percent / 100 - MARGIN)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x))
-        return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify_batches(percent), "a bigint, b bigint"), "verified")
+        side = lambda x: sides.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("regs").alias("r" + x), F.col("text").alias("t" + x))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb", "ta", "tb")
+        return stored(both.mapInArrow(check_batches(percent), "a bigint, b bigint"), "verified")
 
     stars = members.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     met = stars.alias("s").join(bits.alias("x"), F.col("s.a") == F.col("x.doc_id")).join(bits.alias("y"), F.col("s.b") == F.col("y.doc_id")).filter(similar_size)
     met = met.select("a", "b", agreement("x", "y").alias("agree")).filter(F.col("agree") >= needed * bands * rows)
     best = met.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    links = verified(estimated(best).select("a", "b"))
+    links = verified(best)
     labels = components(links)
-    members = members.select("band", "key", "doc_id").withColumn("place", F.row_number().over(W.partitionBy("band", "key").orderBy("doc_id")))
+    members = members.select("key", "doc_id").withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("doc_id")))
     done = 0
     while True:
-        now = members.join(labels, members["doc_id"] == labels["node"], "left").select("band", "key", "doc_id", "place", F.coalesce("component", "doc_id").alias("component"))
-        mixed = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > done + 1))
-        left = stored(now.join(mixed.select("band", "key"), ["band", "key"]), "members")
+        now = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "place", F.coalesce("component", "doc_id").alias("component"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > done + 1))
+        left = stored(now.join(mixed.select("key"), "key"), "members")
         if left.isEmpty():
             break
-        packed = left.join(bits, "doc_id")
+        packed = left.withColumn("keys", F.collect_list("key").over(W.partitionBy("doc_id"))).join(bits, "doc_id")
         heads = packed.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS))
-        meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
         close = F.expr(similar_size) & (agreement("x", "y") >= needed * bands * rows)
-        pairs = packed.alias("x").join(heads.alias("y"), meet & close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        found = verified(estimated(pairs).select("a", "b"))
+        first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+        pairs = packed.alias("x").join(heads.alias("y"), meet & close & first).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        found = verified(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
