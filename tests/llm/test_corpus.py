@@ -206,6 +206,26 @@ def test_license_scan(docs, spark):
     assert license_scan.scan(docs, model).count() == docs.select("doc_id").distinct().count()
 
 
+def test_license_scan_in_long_lines(spark):
+    flat = lambda seed, words: prose(seed, words).replace("\n", " ").replace(".", "")
+    plain = [(i, flat(i, 30 + 20 * i)) for i in range(60)]
+    wanted, rows = {}, []
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for lead, trail in ((0, 300), (150, 150), (300, 0), (7, 40), (40, 80), (900, 333)):
+                wanted[1000 + len(rows)] = (1, family)
+                rows.append((1000 + len(rows), f"{flat(len(rows) + 500, lead + 1)} {t} {flat(len(rows) + 900, trail + 1)}"))
+    both = f"{flat(1, 200)} All rights reserved. Released under the MIT License. {flat(2, 90)} Licensed under the Apache License, Version 2.0. {flat(3, 50)}"
+    other = f"{flat(4, 60)} Licensed under the GNU General Public License, version 2.0 {flat(5, 60)} all the rights of the licensed permission {flat(6, 50)}"
+    extra = [(1, both), (2, other), (3, "All rights reserved.\nAll rights reserved."), (3, "All rights reserved.")]
+    table = spark.createDataFrame(plain + rows + [(5000 + i, t) for i, t in extra], "doc_id bigint, text string")
+    model = license_scan.fit(spark.createDataFrame(plain, "doc_id bigint, text string"))
+    got = {r.doc_id: (r.n_notices, r.families) for r in license_scan.scan(table, model).collect()}
+    assert {i: got[i] for i in wanted} == wanted
+    assert got[5001] == (1, "all-rights-reserved,apache-2.0,mit") and got[5002] == (0, "") and got[5003] == (3, "all-rights-reserved")
+    assert all(got[i] == (0, "") for i, _ in plain)
+
+
 def test_pipeline(docs):
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
