@@ -2,12 +2,14 @@
 
 FP-growth finds the token combinations of labelled URLs that go with the class "block";
 rules are pruned by support, confidence and by simpler rules that do as well, and matched by
-an inverted index from token to rule. URLs are matched by their distinct token sets, so a host with
+an inverted index from each rule's rarest token to the rule. URLs are matched by their distinct token sets, so a host with
 a third of all pages costs as much as any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,32 +54,55 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.transform(F.array_remove(labels, ""), lambda x: F.concat(F.lit("host="), x)), segments, keys, single)))
 
 
-def mine_rules(urls: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
+def by_rarest(rules: DataFrame) -> DataFrame:
+    """The rules with the token that the fewest of them hold, by which they are looked up."""
+    each = rules.withColumn("token", F.explode("rule"))
+    rarest = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    return rules.join(rarest, "rule")
+
+
+def mine_rules(urls: DataFrame, min_support: float = 0.0, min_confidence: float = 0.6, min_rows: int = 20) -> DataFrame:
     """rule (token array), n_tokens, confidence, support, from columns url and blocked (boolean).
 
-    All labelled rows take part. ``min_support`` bounds the frequent tokens and sets; a rule must also rest on ``min_rows`` rows. A rule is
-    left out if a rule on a part of its tokens is as confident. Null labels are left out. No labels or no rule: an empty table.
+    All labelled rows take part. A rule must rest on ``min_rows`` blocked rows, however many others there are, and on the share ``min_support``
+    of all labelled rows if one is asked for. A rule is left out if a rule on a part of its tokens is as confident. Null labels are left out.
+    No labels or no rule: an empty table.
+
+    Two kinds of tokens are left out of FP-growth, which changes no rule: those with too few blocked rows of their own, and those all of whose
+    rows are blocked, since no longer rule is more confident.
     """
-    items = urls.filter(F.col("blocked").isNotNull()).select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    items = items.filter(F.size("items") > 0)
+    spark = urls.sparkSession
+    items = stored(urls.filter(F.col("blocked").isNotNull()).select(tokens_of(F.col("url")).alias("tokens"), "blocked"), "labelled")
     rows = items.count()
-    none = urls.sparkSession.createDataFrame([], "rule array<string>, n_tokens int, confidence double, support double")
-    if rows == 0:
+    least = max(min_rows, math.ceil(min_support * rows), 1)
+    none = spark.createDataFrame([], "rule array<string>, n_tokens int, confidence double, support double")
+    if rows < least:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / rows) if rows > min_rows else 1.0, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK))
-    found = stored(found.select(F.array_sort("antecedent").alias("rule"), F.size("antecedent").alias("n_tokens"), "confidence", "support"), "rules")
-    # A smaller rule inside a larger one shares its first token or another; look up by token, then test containment.
-    small, large = found.select(F.col("rule").alias("s"), F.col("confidence").alias("sc"), F.element_at("rule", 1).alias("token")), found.select("rule", "confidence", F.explode("rule").alias("token"))
+    counts = items.select(F.explode("tokens").alias("token"), "blocked").groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"))
+    counts = stored(counts.filter(F.col("n_blocked") >= least), "tokens")
+    certain = counts.filter("n_blocked = n").select(F.array("token").alias("rule"), F.lit(1).alias("n_tokens"), F.lit(1.0).alias("confidence"), (F.col("n_blocked") / rows).alias("support"))
+    kept = items.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(counts.filter("n_blocked < n").select("token"), "token").groupBy("tokens").agg(F.collect_set("token").alias("kept"))
+    sets = stored(items.join(kept, "tokens").select(F.concat("kept", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "items")
+    left = sets.count()
+    if left >= least:
+        # FP-growth rounds the product of support and rows up; half a row less keeps it at ``least``.
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / left, minConfidence=min_confidence).fit(sets)
+        found = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK))
+        found = found.select(F.array_sort("antecedent").alias("rule"), F.size("antecedent").alias("n_tokens"), "confidence", (F.col("support") * left / rows).alias("support"))
+        found = stored(certain.unionByName(found), "rules")
+    else:
+        found = stored(certain, "rules")
+    # A smaller rule inside a larger one shares all its tokens; look up by its rarest, then test containment.
+    small, large = by_rarest(found).select(F.col("rule").alias("s"), F.col("confidence").alias("sc"), "token"), found.select("rule", "confidence", F.explode("rule").alias("token"))
     beaten = large.join(small, "token").filter((F.size("s") < F.size("rule")) & (F.size(F.array_except("s", "rule")) == 0) & (F.col("sc") >= F.col("confidence"))).select("rule").distinct()
     return found.join(beaten, "rule", "left_anti")
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """tokens, mined_rule, confidence: the most confident rule whose tokens are all in the set, for the sets (column tokens) that have one."""
-    index = rules.select("rule", "n_tokens", "confidence", F.explode("rule").alias("token"))
-    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("tokens", "rule").agg(F.count("*").alias("n"), F.first("n_tokens").alias("need"), F.first("confidence").alias("confidence"))
-    best = hits.filter("n = need").groupBy("tokens").agg(F.max(F.struct("confidence", "rule")).alias("best"))
+    index = by_rarest(rules).select("rule", "confidence", "token")
+    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
+    best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", "rule")).alias("best"))
     return best.select("tokens", F.array_join("best.rule", " & ").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
 
 

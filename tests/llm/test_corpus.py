@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -172,6 +173,29 @@ def test_url_filters(spark):
     assert url_filters.url_verdicts(pages.limit(0), none).count() == 0
 
 
+def test_url_rules_do_not_depend_on_table_size(spark):
+    bad = [(f"http://bad.pest.io/p{i % 3}/{i}", True) for i in range(40)]
+    mostly = [(f"http://www.mixed.org/{'ad' if i % 2 else 'news'}/{i}?id={i}", i % 2 == 1 and i != 1) for i in range(80)]
+    few = [(f"http://few.rare.biz/q/{i}", True) for i in range(19)]
+    pages = spark.createDataFrame([(1, "http://bad.pest.io/new"), (2, "http://www.mixed.org/ad/7?id=1"), (3, "http://www.mixed.org/news/7"), (4, "http://few.rare.biz/q/1"), (5, "http://other.com/a")], "page_id bigint, url string")
+    for unrelated in (100, 10_000):
+        clean = [(f"http://h{i % 50}.other{i % 7}.com/a/{i}", False) for i in range(unrelated)]
+        labelled = spark.createDataFrame(bad + mostly + few + clean, "url string, blocked boolean")
+        assert {r.page_id: r.verdict for r in url_filters.url_verdicts(pages, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}, unrelated
+        # all token sets counted one by one
+        sets, want = [(frozenset(r.t), r.blocked) for r in labelled.select(url_filters.tokens_of(labelled["url"]).alias("t"), "blocked").collect()], {}
+        subsets = {frozenset(c) for t, b in set(sets) if b for n in range(1, len(t) + 1) for c in itertools.combinations(t, n)}
+        for c in subsets:
+            held = [b for t, b in sets if c <= t]
+            if sum(held) >= 20 and sum(held) / len(held) >= 0.6:
+                want[c] = sum(held) / len(held)
+        want = {c: x for c, x in want.items() if not any(d < c and y >= x for d, y in want.items())}
+        assert {frozenset(r.rule): r.confidence for r in url_filters.mine_rules(labelled).collect()} == pytest.approx(want)
+    for n, rules in ((19, 0), (20, 1), (21, 1)):
+        small = spark.createDataFrame([("x://y", True)] * n, "url string, blocked boolean")
+        assert bool(rules) == bool(url_filters.mine_rules(small).count())
+
+
 def test_quality_classifier(docs, empty, spark):
     good = [(i, prose(i, 60 + i % 50)) for i in range(200)]
     bad = [(1000 + i, " ".join(w + "###" for w in prose(500 + i, 80).split())) for i in range(200)]
