@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, url_filters
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, phrase_mining, quality_classifier, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,27 @@ def op9_url_filters(spark, sf_dir):
 def op10_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return license_scan.scan(docs, license_scan.fit(docs))
+
+
+@query
+def op11_phrase_mining(spark, sf_dir):
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_mining"] = r"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(SUM(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, COUNT(*) AS a, string_split(phrase, ' ') AS ws FROM g GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10),
+c AS (SELECT lang, phrase, k, a, 1 AS cut, ws[1] AS x, array_to_string(ws[2:], ' ') AS y FROM f WHERE k > 1
+  UNION ALL SELECT lang, phrase, k, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM f WHERE k = 3),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.a AS l, y.a AS r, CAST(c.a::HUGEINT * c.a * 1000000 // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM f WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM f WHERE k = 3) GROUP BY 1, 2),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE b.k = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * b.a)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000"""
