@@ -73,20 +73,26 @@ def grams(word: np.ndarray, runs_on: np.ndarray, lang: np.ndarray) -> list[tuple
     return out
 
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of tokenised chunks of about ``UNIT_BYTES``; of a chunk: (its languages, what ``tokenised`` returns, its n-grams)."""
-    held, size = [], 0
+def tokenised_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunks of whole texts: (languages, bytes, starts, ends, text numbers, n-grams by length)."""
     for batch in batches:
         raw, bounds = sketch.text_bytes(batch.column("text"))
         langs, hashes = batch.column("lang"), batch.column("lang_hash").to_numpy(zero_copy_only=False).view(U)
         for start, stop in sketch.chunks(bounds):
             at = bounds[start : stop + 1]
             low, starts, ends, text, word, runs_on = tokenised(raw[at[0] : at[-1]], at - at[0])
-            held.append((langs.slice(start, stop - start), low, starts, ends, text, grams(word, runs_on, hashes[start:stop][text])))
-            size += len(low)
-            if size >= UNIT_BYTES:
-                yield held
-                held, size = [], 0
+            yield langs.slice(start, stop - start), low, starts.astype(np.int32), ends.astype(np.int32), text.astype(np.int32), grams(word, runs_on, hashes[start:stop][text])
+
+
+def units(chunks: Iterator[tuple[int, object]]) -> Iterator[list]:
+    """Lists of what was made of chunks of about ``UNIT_BYTES`` together; each comes with the chunk's bytes."""
+    held, size = [], 0
+    for n, made in chunks:
+        held.append(made)
+        size += n
+        if size >= UNIT_BYTES:
+            yield held
+            held, size = [], 0
     if held:
         yield held
 
@@ -99,8 +105,9 @@ def deal(partitions: int, threshold: int):
     count_type = np.uint8 if threshold < 1 << 8 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches):
-            hashes = np.concatenate([h for *_, by_length in unit for _, h in by_length])
+        for unit in units((len(low), np.concatenate([h for _, h in by_length])) for _, low, _, _, _, by_length in tokenised_chunks(batches)):
+            hashes = np.concatenate(unit)
+            del unit
             part = ((hashes >> U(PRINT_BITS)) * U(partitions)) >> U(64 - PRINT_BITS)
             keys, counts = np.unique((part << U(PRINT_BITS)) | (hashes & U((1 << PRINT_BITS) - 1)), return_counts=True)
             counts = np.minimum(counts, threshold)
@@ -203,26 +210,30 @@ def count_kept(shared, partitions: int, slice_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
-        for unit in units(batches):
-            for k in range(1, LONGEST + 1):
-                found = []  # of each chunk: hashes, chunk number, places
-                for i, (*_, by_length) in enumerate(unit):
-                    at, hashes = by_length[k - 1]
+
+        def kept() -> Iterator[tuple[int, tuple]]:
+            for langs, low, starts, ends, text, by_length in tokenised_chunks(batches):
+                found = []
+                for at, hashes in by_length:
                     good = passing(hashes, bits)
-                    found.append((hashes[good], np.full(int(good.sum()), i), at[good]))
-                hashes, chunk, at = (np.concatenate(x) for x in zip(*found))
-                _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                    found.append((at[good].astype(np.int32), hashes[good]))
+                yield len(low), (langs, low, starts, ends, text, found)
+
+        for unit in units(kept()):
+            for k in range(1, LONGEST + 1):
+                found = [x[-1][k - 1] for x in unit]
+                chunk = np.repeat(np.arange(len(unit), dtype=np.int32), [len(h) for _, h in found])
+                _, first, n = np.unique(np.concatenate([h for _, h in found]), return_index=True, return_counts=True)
+                chunk, at = chunk[first], np.concatenate([at for at, _ in found])[first]
                 for i, (langs, low, starts, ends, text, _) in enumerate(unit):
-                    mine = chunk[first] == i
-                    place, counts = at[first[mine]], n[mine]
+                    place, counts = at[chunk == i], n[chunk == i]
                     if not len(place):
                         continue
                     words = [word_array(low, starts[place + j], ends[place + j]) for j in range(k)]
                     phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, " ")
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(text[place])), pa.array(np.full(len(place), k, dtype=np.int32)), phrase, pa.array(counts.astype(np.int64))], names=["lang", "k", "phrase", "n"])
             for langs, _, _, _, text, _ in unit:
-                size = pa.array(np.bincount(text, minlength=len(langs)))
-                per = pa.table({"lang": langs, "n": size}).group_by("lang").aggregate([("n", "sum")])
+                per = pa.table({"lang": langs, "n": pa.array(np.bincount(text, minlength=len(langs)))}).group_by("lang").aggregate([("n", "sum")])
                 for row in per.combine_chunks().to_batches():
                     m = row.num_rows
                     yield pa.RecordBatch.from_arrays([row.column("lang"), pa.array(np.zeros(m, dtype=np.int32)), pa.array([""] * m, pa.string()), row.column("n_sum").cast(pa.int64())], names=["lang", "k", "phrase", "n"])
