@@ -25,8 +25,9 @@ from .common import ship, stored, text_of
 
 U = np.uint64
 LONGEST = 3
-PRINT_BITS = 40  # an n-gram is known to its partition by so many bits
-UNIT_BYTES = 1 << 23  # texts counted together
+PRINT_BITS = 32  # an n-gram is known to its partition by so many bits; those that share them are counted as one in pass 1, which loses none
+CHUNK_BYTES = 1 << 19  # texts tokenised together
+UNIT_BYTES = 1 << 22  # texts counted together
 PARTITION_MASS = 1 << 22  # n-grams of a hash partition, about
 FILTER_BYTES = 1 << 27  # bound of the filter that goes to every executor
 SLICE_BITS = 1 << 19
@@ -78,7 +79,7 @@ def tokenised_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         raw, bounds = sketch.text_bytes(batch.column("text"))
         langs, hashes = batch.column("lang"), batch.column("lang_hash").to_numpy(zero_copy_only=False).view(U)
-        for start, stop in sketch.chunks(bounds):
+        for start, stop in sketch.chunks(bounds, CHUNK_BYTES):
             at = bounds[start : stop + 1]
             low, starts, ends, text, word, runs_on = tokenised(raw[at[0] : at[-1]], at - at[0])
             yield langs.slice(start, stop - start), low, starts.astype(np.int32), ends.astype(np.int32), text.astype(np.int32), grams(word, runs_on, hashes[start:stop][text])
@@ -163,7 +164,7 @@ class Summary:
 
 
 def marks(prints: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (prints % U(slice_bits)).astype(np.int64), ((prints >> U(PRINT_BITS // 2)) % U(slice_bits)).astype(np.int64)
+    return (prints % U(slice_bits)).astype(np.int64), (sketch.mix(prints) % U(slice_bits)).astype(np.int64)
 
 
 def summarise(threshold: int, slice_bits: int):

@@ -54,11 +54,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(bounds: np.ndarray):
-    """Ranges of whole texts of about ``CHUNK_BYTES``."""
+def chunks(bounds: np.ndarray, size: int = CHUNK_BYTES):
+    """Ranges of whole texts of about ``size`` bytes."""
     start = 0
     while start < len(bounds) - 1:
-        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + CHUNK_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + size, "right")) - 1)
         yield start, stop
         start = stop
 
