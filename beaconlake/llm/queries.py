@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, phrase_mining, quality_classifier, quality_rules, url_filters
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, phrase_mining, prefix_trie, quality_classifier, quality_rules, toxicity, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,35 @@ o AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, ws[1] || ' ' || w
 t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
   FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE b.k = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * b.a)
 SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000"""
+
+
+@query
+def op12_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH RECURSIVE k(i, r, x) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, r + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) FROM k WHERE r < 8),
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, s, i, x) AS (SELECT c, CAST(c AS VARCHAR), 1, 4294967295::BIGINT FROM ids
+  UNION ALL SELECT c, s, crc.i + 1, xor(crc.x >> 8, k.x) FROM crc JOIN k ON k.r = 8 AND k.i = xor(crc.x, ascii(substr(s, crc.i, 1))) & 255 WHERE crc.i <= length(s)),
+h AS (SELECT c, xor(x, 4294967295) % 4 AS h, c - c % 20 AS base FROM crc WHERE i = length(s) + 1),
+o AS (SELECT conv_id AS c, COALESCE(role, '') AS role, COALESCE(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.c, 0 AS part, o.p, o.role, o.text FROM h JOIN o ON o.c = h.base AND o.p <= h.h UNION ALL SELECT h.c, 1, o.p, o.role, o.text FROM h JOIN o ON o.c = h.c AND o.p > h.h),
+q AS (SELECT c, list({'role': role, 'text': text} ORDER BY part, p) AS l FROM r GROUP BY c),
+l AS (SELECT h.c, COALESCE(q.l, []) AS l FROM h LEFT JOIN q ON q.c = h.c),
+m AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM l),
+n AS (SELECT sha256(CAST(l[1:d] AS VARCHAR) || d) AS key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(l[1:d]) AS l,
+  COALESCE(string_agg(CASE WHEN len(l) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ids FROM m GROUP BY l[1:d], d),
+e AS (SELECT n.*, CASE WHEN d > 0 THEN sha256(CAST(l[1:d - 1] AS VARCHAR) || (d - 1)) END AS up, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(l[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own FROM n),
+ch AS (SELECT up, count(*) AS n FROM e GROUP BY up),
+a AS (SELECT e.own, CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(list_transform(range(e.d + 1), lambda i: sha256(CAST(e.l[1:i] AS VARCHAR) || i))) AS top FROM e LEFT JOIN ch ON ch.up = e.key),
+s AS (SELECT top, sum(own) AS saved, sum(leaf) AS leaves FROM a GROUP BY top)
+SELECT e.conv_id, e.d AS depth, p.conv_id AS parent_conv_id, e.n_convs, COALESCE(ch.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(e.ids) AS ends_sha256
+FROM e LEFT JOIN e p ON p.key = e.up LEFT JOIN ch ON ch.up = e.key JOIN s ON s.top = e.key"""
