@@ -266,7 +266,7 @@ def frequent_ngrams(docs: DataFrame, threshold: int = 10, partition_mass: int =
     dealt = stored(texts.mapInArrow(deal(partitions, threshold), "part int, mass bigint, prints binary, counts binary"), "prints")
     none = F.lit(None).cast("binary")
     masses = dealt.groupBy("part").agg(F.sum("mass").alias("mass")).select("part", "mass", none.alias("prints"), none.alias("counts"))
-    ordered = dealt.unionByName(masses).repartition("part").sortWithinPartitions("part", F.col("prints").isNotNull())
+    ordered = dealt.unionByName(masses).repartition(partitions, "part").sortWithinPartitions("part", F.col("prints").isNotNull())
     slices = ordered.mapInArrow(summarise(threshold, slice_bits), "part int, bits binary").collect()  # at most filter_bytes
     whole = bytearray(partitions * slice_bits // 8)
     for r in slices:
