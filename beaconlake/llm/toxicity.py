@@ -3,8 +3,8 @@
 The chain has two tags, clean and toxic. A word scores by weights of its features: the word itself and its first three to six bytes, hashed; pairs
 of neighbouring tags score by three more weights. Tags of training words follow from the document labels: every word of a
 clean document is clean; in a toxic one at least one word is toxic, which ones is found by forward-backward under that condition, the words that
-clean documents explain staying clean. (``fit_sequences`` learns from words that are tagged one by one.) A text's score is the chance that
-any of its words is toxic, one minus that of the path on which all are clean; marginals of single words give the offending spans.
+clean documents explain staying clean. (``fit_sequences`` learns from words that are tagged one by one.) Forward-backward marginals of single
+words give the offending spans, and those of suspect words together the score of a text.
 
 Sums along the chain run over all words of a block of texts at once: cut into stretches of equal length, a stretch is a 2 x 2 matrix that carries
 the state over it; the states at the stretches' ends follow from these matrices, and all stretches are then filled in side by side. Texts are apart
@@ -29,6 +29,8 @@ BITS = 18
 DIMS = 1 << BITS
 PREFIXES = (3, 4, 5, 6)
 START = -7.0  # first weight of the toxic tag, about one word in a thousand
+SUSPECT = 0.2  # chance from which a word counts for its text
+COMMON = 20.0  # decay of the bias and the neighbour weights, which all words share, towards their first values
 
 
 @dataclass(frozen=True)
@@ -72,14 +74,15 @@ def emissions(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return total
 
 
-def chain(score: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: log of the factor by which it grows the sum over all paths, chance of the toxic tag, and of the three pairs with the word before.
+def chain(score: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]:
+    """Of each word: log of the factor by which it grows the sum over all paths, chance of the toxic tag, and, if called for, of the three pairs
+    with the word before.
 
     ``score`` is that of the toxic tag (the clean one has 0), ``first`` marks the first word of each text.
     """
     n = len(score)
     if not n:
-        return np.zeros(0), np.zeros(0), np.zeros((3, 0))
+        return np.zeros(0), np.zeros(0), lambda: np.zeros((3, 0))
     span = max(1, int(np.sqrt(n)))
     width = -(-n // span)
     pad = span * width - n
@@ -124,13 +127,16 @@ def chain(score: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.n
     flat = lambda z: z.T.ravel()[:n]
     u, v = clean * later_clean, toxic * later_toxic
     marginal = flat(v / (u + v))
-    x0, y0 = np.empty_like(e), np.empty_like(e)  # state before each word
-    x0[0], y0[0] = before
-    x0[1:], y0[1:] = clean[:-1], toxic[:-1]
-    joint = np.stack([x0 * m01 * later_toxic, y0 * m10 * later_clean, y0 * m11 * later_toxic])
-    both = joint / (joint.sum(axis=0) + x0 * m00 * later_clean)
-    both = np.where(new, 0.0, both)
-    return np.log(flat(grown)), marginal, np.stack([flat(z) for z in both])
+
+    def both() -> np.ndarray:
+        x0, y0 = np.empty_like(e), np.empty_like(e)  # state before each word
+        x0[0], y0[0] = before
+        x0[1:], y0[1:] = clean[:-1], toxic[:-1]
+        joint = [x0 * m01 * later_toxic, y0 * m10 * later_clean, y0 * m11 * later_toxic]
+        total = np.where(new, np.inf, x0 * m00 * later_clean + joint[0] + joint[1] + joint[2])
+        return np.stack([flat(z / total) for z in joint])
+
+    return np.log(flat(grown)), marginal, both
 
 
 def any_toxic(log_growth: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
@@ -139,6 +145,18 @@ def any_toxic(log_growth: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndar
     return -np.expm1(-np.maximum(total, 0.0))
 
 
+def text_scores(marginal: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """Score of each text: one minus the chance that none of its suspect words is toxic; without suspects the highest chance of a word.
+
+    A suspect word has a chance of SUSPECT or more. The others are left out, as a long text would add up to a high score from its many words alone.
+    """
+    suspect = marginal >= SUSPECT
+    none = np.bincount(text[suspect], weights=np.log1p(-np.minimum(marginal[suspect], 1 - 1e-12)), minlength=n_texts)
+    most = np.zeros(n_texts)
+    np.maximum.at(most, text, marginal)
+    return np.maximum(most, -np.expm1(none))
+
+
 def smallest(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     """Minimise by limited-memory quasi-Newton steps with a halving line search."""
     x, (f, g) = start, loss(start)
@@ -186,21 +204,22 @@ def learn(raw: np.ndarray, bounds: np.ndarray, decay: float, steps: int, pull: C
         weights, pairs = theta[: DIMS + 1], theta[DIMS + 1 :]
         score = emissions(rows, weights)[word]
         value, by_word, by_pair = pull(text, first, score, *chain(score, first, pairs), pairs)
-        grad = decay * theta
-        grad[DIMS] = by_word.sum()
+        away = theta - start
+        grad = held * away
+        grad[DIMS] += by_word.sum()
         grad[DIMS + 1 :] += by_pair
         per = np.bincount(word, weights=by_word, minlength=len(rows))
         for j in range(rows.shape[1]):
             grad[:DIMS] += np.bincount(rows[:, j], weights=per if j == 0 else np.where(rows[:, j] != rows[:, 0], per, 0), minlength=DIMS)
-        return value + 0.5 * decay * float(theta @ theta - weights[-1] ** 2), grad
+        return value + 0.5 * float(held @ away**2), grad
 
-    start = np.zeros(DIMS + 4)
-    start[DIMS] = START
+    start, held = np.zeros(DIMS + 4), np.full(DIMS + 4, decay)
+    start[DIMS], held[DIMS:] = START, COMMON
     theta = smallest(loss, start, steps)
     return Model(theta[: DIMS + 1], theta[DIMS + 1 :])
 
 
-def fit_texts(raw: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, decay: float = 0.02, steps: int = 60) -> Model:
+def fit_texts(raw: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, decay: float = 0.1, steps: int = 60) -> Model:
     """Learn from texts of which only the label is known: of a toxic text at least one word is toxic, of others none."""
 
     def pull(text, first, score, growth, marginal, both, pairs):
@@ -209,23 +228,23 @@ def fit_texts(raw: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, decay: flo
         some = -np.expm1(-total)
         # By how much its words are likelier to be toxic than under the text's label (in a clean text: by their chance itself).
         excess = np.where(unclear, -np.exp(-total) / some, 1.0)[text]
-        return float(np.where(unclear, -np.log(some), total).sum()), excess * marginal, (excess * both).sum(axis=1)
+        return float(np.where(unclear, -np.log(some), total).sum()), excess * marginal, both() @ excess
 
     return learn(raw, bounds, decay, steps, pull)
 
 
-def fit_sequences(raw: np.ndarray, bounds: np.ndarray, tags: np.ndarray, decay: float = 0.02, steps: int = 60) -> Model:
+def fit_sequences(raw: np.ndarray, bounds: np.ndarray, tags: np.ndarray, decay: float = 0.1, steps: int = 60) -> Model:
     """Learn from words with known tags, one boolean per word in the order of ``tokens``."""
 
     def pull(text, first, score, growth, marginal, both, pairs):
         last = np.r_[False, tags[:-1]] & ~first
         known = np.stack([tags & ~first & ~last, ~tags & last, tags & last]).sum(axis=1)
-        return float(growth.sum() - score[tags].sum() - known @ pairs), marginal - tags, both.sum(axis=1) - known
+        return float(growth.sum() - score[tags].sum() - known @ pairs), marginal - tags, both().sum(axis=1) - known
 
     return learn(raw, bounds, decay, steps, pull)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: int = 1 << 16, **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 600, max_bytes: int = 1 << 13, **how) -> Model:
     """Learn from at most ``per_label`` toxic and twice as many clean documents of at most ``max_bytes``, those with the smallest hash of their id
     among the rows that may be learnt from. Equal texts count once.
 
@@ -268,8 +287,8 @@ def tag(docs: DataFrame, model: Model, span_at: float = 0.5, spans: bool = True)
                 own = raw[bounds[start] : bounds[stop]]
                 starts, ends, text, low = tokens(own, at)
                 first = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, dtype=bool)
-                growth, marginal, _ = chain(emissions(features(low, starts, ends), m.weights).astype(np.float64), first, m.pairs)
-                columns = [*(batch.column(c).slice(start, stop - start) for c in ("doc_id", "held_out")), pa.array(any_toxic(growth, text, stop - start))]
+                _, marginal, _ = chain(emissions(features(low, starts, ends), m.weights).astype(np.float64), first, m.pairs)
+                columns = [*(batch.column(c).slice(start, stop - start) for c in ("doc_id", "held_out")), pa.array(text_scores(marginal, text, stop - start))]
                 if spans:
                     hit = np.nonzero(marginal >= span_at)[0]
                     opens = np.r_[True, (hit[1:] != hit[:-1] + 1) | first[hit[1:]]] if len(hit) else np.zeros(0, dtype=bool)
