@@ -157,6 +157,10 @@ def text_scores(marginal: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndar
     return np.maximum(most, -np.expm1(none))
 
 
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.einsum("i,i->", a, b))
+
+
 def smallest(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     """Minimise by limited-memory quasi-Newton steps with a halving line search."""
     x, (f, g) = start, loss(start)
@@ -164,12 +168,12 @@ def smallest(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.n
     for _ in range(steps):
         q, used = g.copy(), []
         for s, y, r in reversed(history):
-            used.append(r * (s @ q))
+            used.append(r * dot(s, q))
             q -= used[-1] * y
-        q *= (history[-1][0] @ history[-1][1]) / (history[-1][1] @ history[-1][1]) if history else 1.0 / max(1.0, float(np.abs(g).max()))
+        q *= dot(history[-1][0], history[-1][1]) / dot(history[-1][1], history[-1][1]) if history else 1.0 / max(1.0, float(np.abs(g).max()))
         for (s, y, r), al in zip(history, reversed(used)):
-            q += (al - r * (y @ q)) * s
-        slope, step = -(g @ q), 1.0
+            q += (al - r * dot(y, q)) * s
+        slope, step = -dot(g, q), 1.0
         if slope > -1e-9:
             break
         while True:
@@ -183,8 +187,8 @@ def smallest(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.n
         s, y = new - x, g2 - g
         done = f - f2 < 1e-6 * abs(f)
         x, f, g = new, f2, g2
-        if s @ y > 1e-10:
-            history = [*history[1 - memory :], (s, y, 1.0 / (s @ y))]
+        if dot(s, y) > 1e-10:
+            history = [*history[1 - memory :], (s, y, 1.0 / dot(s, y))]
         if done:
             break
     return x
@@ -211,7 +215,7 @@ def learn(raw: np.ndarray, bounds: np.ndarray, decay: float, steps: int, pull: C
         per = np.bincount(word, weights=by_word, minlength=len(rows))
         for j in range(rows.shape[1]):
             grad[:DIMS] += np.bincount(rows[:, j], weights=per if j == 0 else np.where(rows[:, j] != rows[:, 0], per, 0), minlength=DIMS)
-        return value + 0.5 * float(held @ away**2), grad
+        return value + 0.5 * dot(held, away**2), grad
 
     start, held = np.zeros(DIMS + 4), np.full(DIMS + 4, decay)
     start[DIMS], held[DIMS:] = START, COMMON
