@@ -18,7 +18,7 @@ from beaconlake.plans.registry import query, r6
 from beaconlake.session import shared_folder
 from beaconlake.sources import ndjson
 from beaconlake.sources.table import read_events, write_events
-from beaconlake.streaming import live
+from beaconlake.streaming import live, retention
 
 # One JSON line per table row; k decides which fault it has. Every user is a producer instance and reuses one request id.
 _LINES = """SELECT id, uid, us, k, CASE WHEN k = 88 THEN '{bad' WHEN k = 99 THEN '   ' ELSE concat(
@@ -198,13 +198,6 @@ def run_stream(df: DataFrame, mode: str, keep: tuple[str, ...] | None = None) ->
     return out.groupBy(*keep).agg(F.max_by(row, "batch").alias("r")).select("r.*")
 
 
-def _mixed_folder(spark: SparkSession, d: str) -> str:
-    path = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
-    rows = _line_rows(spark, d).select(F.concat(F.lit("r"), F.col("uid") % 8).alias("rec"), "value")
-    rows.repartition(6, F.xxhash64("value")).write.partitionBy("rec").text(path)
-    return path
-
-
 def _stream(spark, d, files=100, folder=None):
     raw = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files).text(f"{folder or line_folder(spark, d)}/*/*.txt")
     source = F.col("_metadata.file_path")
@@ -224,34 +217,109 @@ def stream_quarantine(spark, d):
     return spark.read.parquet(f"{path}/rejected").groupBy("recording_id", "reason").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("stream_late", f"{BASE} SELECT rec AS recording_id, COUNT(*) AS events FROM good GROUP BY 1")
-def stream_late(spark, d):
-    """Held and late rows together are all events: none is lost."""
+# Deliveries of the live checks: four batches by id, and a third of the events again in the next batch.
+_LATE_DAYS = 10
+_DELIVERED = f"""{BASE}, dl AS (SELECT *, id % 4 AS b, FALSE AS again FROM good UNION ALL SELECT *, id % 4 + 1, TRUE FROM good WHERE id % 3 = 0 AND id % 4 < 3),
+ tops AS (SELECT b, MAX(us) AS m FROM dl GROUP BY b), cut AS (SELECT x.b, MAX(y.m) AS newest FROM tops x LEFT JOIN tops y ON y.b < x.b GROUP BY x.b),
+ st AS (SELECT dl.*, COALESCE(us < newest - CAST({{days}} AS BIGINT) * 86400000000, FALSE) AS late FROM dl JOIN cut USING (b)), held AS (SELECT * FROM st WHERE NOT late AND NOT again)"""
+_HELD = _DELIVERED.replace("{days}", str(_LATE_DAYS))
+
+
+def _land(spark: SparkSession, d: str, late_after: str, keep: str | None = None) -> str:
+    """Folder of a stream that landed in four runs, each of one micro-batch."""
     path = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    live.write_live(_stream(spark, d, 3), path, f"{path}/checkpoint", late_after="1 day").awaitTermination()
-    both = spark.read.parquet(f"{path}/events").select("recording_id", "event_id").unionByName(spark.read.parquet(f"{path}/late").select("recording_id", "event_id"))
-    return both.groupBy("recording_id").agg(F.count(F.lit(1)).alias("events"))
+    rows = _line_rows(spark, d).withColumn("rec", F.concat(F.lit("r"), F.col("uid") % 8))
+    for number in range(4):
+        again = (F.col("id") % 3 == 0) & (F.col("id") % 4 == number - 1)
+        part = rows.where((F.col("id") % 4 == number) | again)
+        part.select("rec", "value").repartition(3, F.xxhash64("value")).write.mode("append").partitionBy("rec").text(f"{path}/in")
+        live.write_live(_stream(spark, d, 100_000, f"{path}/in"), path, f"{path}/checkpoint", late_after, keep=keep).awaitTermination()
+    return path
+
+
+_LANDED_AT: dict[tuple[str, str], str] = {}
+
+
+def _landed(spark: SparkSession, d: str) -> str:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LANDED_AT:
+        _LANDED_AT[key] = _land(spark, d, f"{_LATE_DAYS} days")
+    return _LANDED_AT[key]
+
+
+def _over_batches(spark: SparkSession, d: str, operator, mode: str, keep: tuple[str, ...]) -> DataFrame:
+    """Latest rows per key of a streaming operator that meets the landed batches one run after the other, with a watermark that moves in between."""
+    landed, path = _landed(spark, d), f"{shared_folder(spark)}/over-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{landed}/events")
+    schema = None
+    for number in range(4):
+        events.where(F.col("batch") == number).write.mode("append").partitionBy("day", "batch").parquet(f"{path}/events")
+        out = operator(live.read_landed(spark, path))
+        schema = out.schema
 
+        def land(batch: DataFrame, step: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/rows/batch={step}")
 
-@query("stream_dedupe", f"{BASE} SELECT rec AS recording_id, event_id FROM good")
+        out.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    return rows.groupBy(*keep).agg(F.max_by(F.struct(*schema.names), "batch").alias("r")).select("r.*")
+
+
+_DELAY = f"{_LATE_DAYS * 86_400 + 1} seconds"
+
+
+@query("stream_late", f"{_HELD} SELECT rec AS recording_id, b AS batch, late, COUNT(*) AS events FROM st WHERE late OR NOT again GROUP BY 1, 2, 3")
+def stream_late(spark, d):
+    """Held and late rows of every batch, apart."""
+    rows = [spark.read.parquet(f"{_landed(spark, d)}/{name}").select("recording_id", "batch", F.lit(name == "late").alias("late")) for name in ("events", "late")]
+    return rows[0].unionByName(rows[1]).groupBy("recording_id", F.col("batch").cast("bigint").alias("batch"), "late").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("src_live", f"{_HELD} SELECT b AS batch, MAX(us) AS newest_us, COUNT(*) FILTER (NOT late AND NOT again) AS held, COUNT(*) FILTER (late) AS late, COUNT(*) FILTER (NOT late AND again) AS repeated FROM st GROUP BY 1")
+def src_live(spark, d):
+    """What landing did with every row of a batch: held, late or a repeat of a held event."""
+    since = F.unix_micros("newest") - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return spark.read.parquet(f"{_landed(spark, d)}/progress").select(F.col("batch").cast("bigint").alias("batch"), since.alias("newest_us"), "held", "late", "repeated")
+
+
+@query("stream_retention", f"""{_DELIVERED.replace("{days}", "12")}, c AS (SELECT MAX(us) - CAST(12 AS BIGINT) * 86400000000 AS cut FROM st)
+ SELECT rec AS recording_id, COUNT(*) FILTER (us >= cut) AS kept, COUNT(*) FILTER (us < cut) AS expired, COUNT(DISTINCT CASE WHEN us >= cut THEN us // 86400000000 END) AS days FROM held, c GROUP BY 1""")
+def stream_retention(spark, d):
+    """Events older than twelve days leave after each batch: kept and expired ones together are all that were held."""
+    path = _land(spark, d, "12 days", "12 days")
+    kept = spark.read.parquet(f"{path}/events").select("recording_id", "day", F.lit(1).alias("kept"), F.lit(0).alias("expired"))
+    left = retention.expired(spark, path).select("recording_id", F.lit(None).cast("date").alias("day"), F.lit(0).alias("kept"), F.col("events").alias("expired"))
+    return kept.unionByName(left).groupBy("recording_id").agg(F.sum("kept").alias("kept"), F.sum("expired").alias("expired"), F.count_distinct("day").alias("days"))
+
+
+@query("stream_dedupe", f"{_HELD} SELECT DISTINCT rec AS recording_id, event_id FROM st WHERE NOT late")
 def stream_dedupe(spark, d):
-    """Every line twice in; every event once out."""
-    twice = _stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    return run_stream(live.stream_dedupe(live.stream_ingest(twice).events, "31 days").select("recording_id", "event_id"), "append")
+    """Events that come again in the next batch, and rows behind the watermark: every event inside it once."""
+    path = f"{shared_folder(spark)}/dedupe-{uuid.uuid4().hex}"
+    rows, out = _line_rows(spark, d).withColumn("rec", F.concat(F.lit("r"), F.col("uid") % 8)), []
+    for number in range(4):
+        again = (F.col("id") % 3 == 0) & (F.col("id") % 4 == number - 1)
+        rows.where((F.col("id") % 4 == number) | again).select("rec", "value").write.mode("append").partitionBy("rec").text(f"{path}/in")
+        once = live.stream_dedupe(live.stream_ingest(_stream(spark, d, 100_000, f"{path}/in")).events, f"{_LATE_DAYS} days").select("recording_id", "event_id")
+
+        def land(batch: DataFrame, step: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/rows/batch={step}")
+
+        once.writeStream.foreachBatch(land).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("recording_id string, event_id string").parquet(f"{path}/rows").select("recording_id", "event_id")
 
 
-@query("stream_gaps", f"""{BASE}, g AS (SELECT rec, uid, id, LAG(id) OVER (PARTITION BY uid ORDER BY id) AS p FROM good)
+@query("stream_gaps", f"""{_HELD}, g AS (SELECT rec, uid, id, LAG(id) OVER (PARTITION BY uid ORDER BY id) AS p FROM held)
  SELECT rec AS recording_id, CAST(to_json(['stream-instance', 'p' || CAST(uid % 4 AS STRING), 'n', 'u' || CAST(uid AS STRING)]) AS STRING) AS stream, p + 1 AS from_seq, id - 1 AS to_seq FROM g WHERE id > p + 1""")
 def stream_gaps(spark, d):
-    latest = run_stream(live.stream_gaps(live.stream_ingest(_stream(spark, d, 3)).events), "update", ("recording_id", "stream"))
-    return latest.select("recording_id", "stream", F.explode(F.arrays_zip("gap_from", "gap_to")).alias("g")).select("recording_id", "stream", F.col("g.gap_from").alias("from_seq"), F.col("g.gap_to").alias("to_seq"))
+    return live.gap_ranges(_over_batches(spark, d, live.stream_gaps, "update", ("recording_id", "stream", "page")))
 
 
-@query("stream_spans", f"{_SP} SELECT * FROM spans")
+@query("stream_spans", f"{_HELD}{_SP.removeprefix(BASE).replace('FROM good', 'FROM held')} SELECT * FROM spans")
 def stream_spans(spark, d):
-    """Lines dealt to files without regard to time, so that starts, tokens and ends of a request come in any order over several micro-batches."""
-    spans = live.stream_spans(live.stream_ingest(_stream(spark, d, 12, _mixed_folder(spark, d))).events, delay="31 days")
-    return run_stream(spans.where("start_ns IS NOT NULL"), "update", ("recording_id", "stream", "request_id")).select(*_SPAN_COLS)
+    """Starts, tokens and ends of a request in any order over four batches, folded as the watermark passes them."""
+    spans = _over_batches(spark, d, lambda ev: live.stream_spans(ev, 90 * 86_400_000, _DELAY), "update", ("recording_id", "stream", "request_id"))
+    return spans.where("start_ns IS NOT NULL").select(*_SPAN_COLS)
 
 
 @query("stream_drops", f"""{BASE}, r AS (SELECT rec, uid, us, k FROM good WHERE et = 'error' AND k % 2 = 0 AND k > 0)
@@ -260,18 +328,18 @@ def stream_drops(spark, d):
     return run_stream(live.stream_drops(live.stream_ingest(_stream(spark, d, 3)).events), "update", ("recording_id", "stream"))
 
 
-@query("stream_timeline", f"""{BASE} SELECT rec AS recording_id, CAST(floor(us / 86400000000.0::DOUBLE) AS BIGINT) AS day, CASE et WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'request' WHEN 'click' THEN 'inference' WHEN 'error' THEN 'telemetry' ELSE 'resource' END AS cls, COUNT(*) AS events
- FROM good GROUP BY 1, 2, 3""")
+@query("stream_timeline", f"""{_HELD} SELECT rec AS recording_id, CAST(floor(us / 86400000000.0::DOUBLE) AS BIGINT) AS day, CASE et WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'request' WHEN 'click' THEN 'inference' WHEN 'error' THEN 'telemetry' ELSE 'resource' END AS cls, COUNT(*) AS events
+ FROM held GROUP BY 1, 2, 3""")
 def stream_timeline(spark, d):
-    out = run_stream(live.stream_timeline(live.stream_ingest(_stream(spark, d)).events, "1 day", "31 days"), "update", ("recording_id", "window", "cls"))
+    out = _over_batches(spark, d, lambda ev: live.stream_timeline(ev, "1 day", _DELAY), "update", ("recording_id", "window", "cls"))
     day = F.datediff(F.col("window.start"), F.lit("2024-01-01").cast("date")).cast("bigint")
     return out.select("recording_id", day.alias("day"), "cls", "events")
 
 
-@query("stream_windows", f"""{BASE}, t AS (SELECT rec, us, {_N} AS n FROM good WHERE et = 'click'), w AS (SELECT rec, CAST(floor(us / 43200000000.0::DOUBLE) AS BIGINT) - o AS h, n FROM t, (SELECT unnest([0, 1]) AS o) WHERE TRUE)
+@query("stream_windows", f"""{_HELD}, t AS (SELECT rec, us, {_N} AS n FROM held WHERE et = 'click'), w AS (SELECT rec, CAST(floor(us / 43200000000.0::DOUBLE) AS BIGINT) - o AS h, n FROM t, (SELECT unnest([0, 1]) AS o) WHERE TRUE)
  SELECT rec AS recording_id, h AS half_day, CAST(SUM(n) AS BIGINT) AS tokens FROM w GROUP BY 1, 2""")
 def stream_windows(spark, d):
-    out = run_stream(live.stream_windows(live.stream_ingest(_stream(spark, d)).events, "24 hours", "12 hours", "31 days"), "update", ("recording_id", "window"))
+    out = _over_batches(spark, d, lambda ev: live.stream_windows(ev, "24 hours", "12 hours", _DELAY), "update", ("recording_id", "window"))
     start = F.col("window.start").cast("timestamp")
     half = F.floor((F.unix_seconds(start) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 43_200).cast("bigint")
     return out.select("recording_id", half.alias("half_day"), "tokens")

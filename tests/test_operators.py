@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from beaconlake.functions import readings as R
@@ -15,7 +16,7 @@ from beaconlake.operators import pipeline as P
 from beaconlake.operators import topology as T
 from beaconlake.operators.spans import request_spans
 from beaconlake.sources.ndjson import parse_lines
-from beaconlake.streaming.state import advance, fill_holes, settle
+from beaconlake.streaming.state import PAGE, advance, base_of, base_row, holes_of, seen_bits, settle
 from events import event, lines, load
 
 
@@ -113,18 +114,19 @@ def test_stage_goes_back_only_on_preemption(spark):
     assert {r["stage"]: r["entered_ns"] // 1_000_000 for r in P.request_stage(rows).collect()} == {"queue": 5, "prefill": 6, "decode": 3}
 
 
-def test_holes_fill_in_any_order():
+def test_pages_of_sequence_numbers():
+    """Holes of a page, whatever order its numbers come in; a full page needs no bits."""
     rng = random.Random(1)
-    import numpy as np
-
     for _ in range(50):
-        numbers = rng.sample(range(60), 25)
-        lo = hi = None
-        holes = []
-        for i in range(0, 25, 5):
-            lo, hi, holes = fill_holes(lo, hi, holes, np.unique(np.array(numbers[i : i + 5])))
+        numbers = rng.sample(range(PAGE), rng.choice([1, 5, 900, PAGE - 1]))
+        held = None
+        for i in range(0, len(numbers), 7):
+            bits = seen_bits(held, np.array(numbers[i : i + 7]))
+            held = b"" if bits.all() else np.packbits(bits).tobytes()
         seen = sorted(numbers)
-        assert holes == [(a + 1, b - 1) for a, b in zip(seen, seen[1:]) if b > a + 1]
+        lo, hi, starts, ends = holes_of(bits)
+        assert (lo, hi) == (seen[0], seen[-1]) and list(zip(starts, ends)) == [(a + 1, b - 1) for a, b in zip(seen, seen[1:]) if b > a + 1]
+    assert seen_bits(b"", np.array([3])).all()
 
 
 def test_span_state_does_not_depend_on_the_order_of_arrival():
@@ -134,14 +136,17 @@ def test_span_state_does_not_depend_on_the_order_of_arrival():
     assert advance(None, rows) == want
     rng = random.Random(2)
     for _ in range(200):
-        held, left, newest = {"span": None, "recent": [], "unmatched": 0}, rng.sample(rows, len(rows)), 0
+        base, recent, left, newest = None, [], rng.sample(rows, len(rows)), 0
         delay = rng.choice([2, 4, 100])
         # Rows come at most ``delay`` behind the newest one before them.
         left.sort(key=lambda r: r[3] + rng.random() * (delay if delay == 100 else delay / 2))
         while left:
             n = rng.randint(1, 4)
-            span, held = settle(held, left[:n], newest - delay)
+            recent += left[:n]
+            span = advance(base, recent)
             newest, left = max(newest, *(r[3] for r in left[:n])), left[n:]
+            base, recent, _ = settle(base, recent, newest - delay)
+            assert base is None or base_of(base_row(base)) == base
         assert span == want
 
 
