@@ -81,20 +81,24 @@ def rebuilt(conversations: DataFrame, loan: int = LOAN) -> tuple[DataFrame, Data
 
 def end_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (depth, d1, d2, ids), sorted, the texts of a node in order -> one SHA-256 for each node, fed text by text."""
-    key, running_hash = None, None
+    key, running_hash, done = None, None, []
 
     def close() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in key] + [pa.array([running_hash.hexdigest()])], names=["depth", "d1", "d2", "ends_sha256"])
+        columns = list(zip(*done)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["depth", "d1", "d2", "ends_sha256"])
 
     for batch in batches:
-        for depth, d1, d2, ids in zip(*(batch.column(c).to_pylist() for c in ("depth", "d1", "d2", "ids"))):
-            if key != (depth, d1, d2):
+        for *at, ids in zip(*(batch.column(c).to_pylist() for c in ("depth", "d1", "d2", "ids"))):
+            if key != at:
                 if key is not None:
-                    yield close()
-                key, running_hash = (depth, d1, d2), hashlib.sha256(ids.encode())
+                    done.append((*key, running_hash.hexdigest()))
+                key, running_hash = at, hashlib.sha256(ids.encode())
             else:
                 running_hash.update(b"," + ids.encode())
+        yield close()
+        done.clear()
     if key is not None:
+        done.append((*key, running_hash.hexdigest()))
         yield close()
 
 
