@@ -26,8 +26,8 @@ from .common import ship, stored, text_of
 U = np.uint64
 LONGEST = 3
 PRINT_BITS = 32  # an n-gram is known to its partition by so many bits; those that share them are counted as one in pass 1, which loses none
-CHUNK_BYTES = 1 << 19  # texts tokenised together
-UNIT_BYTES = 1 << 22  # texts counted together
+CHUNK_BYTES = 1 << 17  # texts tokenised together
+UNIT_BYTES = 1 << 21  # texts counted together
 PARTITION_MASS = 1 << 22  # n-grams of a hash partition, about
 FILTER_BYTES = 1 << 27  # bound of the filter that goes to every executor
 SLICE_BITS = 1 << 19
