@@ -106,7 +106,7 @@ def unit_stats(events: DataFrame, facts: DataFrame, mode: str = "session") -> Da
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost_usd").alias("cost_usd"),
         F.sum(rated).alias("rated_tokens"), F.sum(rated / F.col("decode_tok_per_sec")).alias("rated_seconds"),
     )
-    ttft = nearest_ranks(mine.where("ttft_ms IS NOT NULL"), keys, F.col("ttft_ms"), 1_000)
+    ttft = nearest_ranks(mine.where("ttft_ms IS NOT NULL"), keys, F.col("ttft_ms"))
     joined = per_event.join(per_request, keys, "full_outer").join(ttft, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     looked = F.col("cache_hits") + F.col("cache_misses")

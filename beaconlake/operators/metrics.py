@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.functions import readings as R
@@ -18,26 +18,49 @@ RECENT_WINDOW_NS = 5_000_000_000
 RECENT_NS = float(RECENT_WINDOW_NS)
 
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: Column, width: int, percentiles: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """Exact nearest-rank percentiles: count, p50, p95 and max of ``value``.
+OCTAVE_BUCKETS = 1024
+FINE_BUCKETS = 4096
 
-    The values are counted first (combined map-side), so the rank is found on the
-    count table, cut into slices of ``width``; no task holds all values of a group.
-    """
-    values = df.groupBy(*keys, value.alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = values.groupBy(*keys).agg(F.sum("__n").alias("count"), F.max("__d").alias("max"))
-    ranked = running(values, keys, [Scan("__upto", "sum", F.col("__n"))], order=("__d",), slice_by="__d", width=width)
-    joined = ranked.join(totals, keys)
 
-    def pick(p: int) -> Column:
-        rank = F.greatest(F.ceil(F.lit(p / 100.0) * F.col("count")), F.lit(1))
-        return F.min(F.when(F.col("__upto") >= rank, F.col("__d"))).alias(f"p{p}")
+def _pick_bucket(buckets: DataFrame, keys: list[str], bucket: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per key and rank the first bucket that reaches it, as a struct: rows before it, its smallest and largest value."""
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(bucket))
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    rows = buckets.withColumn("__upto", upto).withColumn("__all", total)
+    at = F.struct(F.col(bucket).alias("b"), (F.col("__upto") - F.col("__n")).alias("before"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))
+    picks = [F.min(F.when(F.col("__upto") >= rank, at)).alias(name) for name, rank in ranks.items()]
+    return rows.groupBy(*keys).agg(F.max("__all").alias("count"), F.max("__hi").alias("max"), *picks)
+
 
-    return joined.groupBy(*keys).agg(F.max("count").alias("count"), *[pick(p) for p in percentiles], F.max("max").alias("max"))
+def nearest_ranks(df: DataFrame, keys: list[str], value: Column, percentiles: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """Exact nearest-rank percentiles: count, p50, p95 and max of ``value``.
+
+    Ranks are found by refining histograms. Values are counted into buckets of 1/1024 octave (combined map-side); the bucket that
+    holds the rank is chosen; its values are cut into 4096 equal parts of its own range, and only the part that holds the rank is ordered. So
+    no task holds the values of a group, however close together they lie.
+    """
+    values = df.where(value.isNotNull()).groupBy(*keys, value.alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    size = F.floor(F.log2(F.abs(F.col("__d")).cast("double") + 1) * OCTAVE_BUCKETS)
+    counts = [F.sum("__n").alias("__n"), F.min("__d").alias("__lo"), F.max("__d").alias("__hi")]
+    coarse = values.groupBy(*keys, F.when(F.col("__d") < 0, -size - 1).otherwise(size).cast("bigint").alias("__b")).agg(*counts)
+    ranks = {f"__p{p}": F.greatest(F.ceil(F.lit(p / 100.0) * F.col("__all")), F.lit(1)) for p in percentiles}
+    chosen = _pick_bucket(coarse, keys, "__b", ranks)
+
+    wanted = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.ceil(F.lit(p / 100.0) * F.col("count")), F.lit(1)).cast("bigint").alias("rank"), F.col(f"__p{p}").alias("at")) for p in percentiles))
+    near = values.join(chosen.select(*keys, F.explode(wanted).alias("__w")), keys).where((F.col("__d") >= F.col("__w.at.lo")) & (F.col("__d") <= F.col("__w.at.hi")))
+    width = (F.col("__w.at.hi") - F.col("__w.at.lo")).cast("double")
+    part = F.coalesce(F.floor(F.try_divide((F.col("__d") - F.col("__w.at.lo")).cast("double"), width) * (FINE_BUCKETS - 1)), F.lit(0)).cast("bigint")
+    near = near.select(*keys, F.col("__w.p").alias("__p"), (F.col("__w.rank") - F.col("__w.at.before")).alias("__rank"), part.alias("__part"), "__d", "__n")
+    fine = _pick_bucket(near.groupBy(*keys, "__p", "__rank", "__part").agg(*counts), [*keys, "__p", "__rank"], "__part", {"__at": F.col("__rank")})
+    fine = fine.select(*keys, "__p", F.col("__at.b").alias("__part"), (F.col("__rank") - F.col("__at.before")).alias("__left"))
+    last = near.join(fine, [*keys, "__p", "__part"])
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__p").orderBy("__d"))
+    found = last.withColumn("__upto", upto).groupBy(*keys).agg(*(F.min(F.when((F.col("__p") == p) & (F.col("__upto") >= F.col("__left")), F.col("__d"))).alias(f"p{p}") for p in percentiles))
+    return chosen.select(*keys, "count", "max").join(found, keys).select(*keys, "count", *(f"p{p}" for p in percentiles), "max")
 
 
 def _latency(df: DataFrame, keys: list[str], duration_ns: str) -> DataFrame:
-    ranks = nearest_ranks(df, keys, F.col(duration_ns), 1_000_000_000)
+    ranks = nearest_ranks(df, keys, F.col(duration_ns))
     return ranks.select(*keys, "count", *[(F.col(c) / 1e6).alias(f"{c}_ms") for c in ("p50", "p95", "max")])
 
 

@@ -156,3 +156,21 @@ def test_depth_of_agents_that_spawn_each_other(spark):
     rows = [("rec", at, 0, f"e{at}", [("agent", child), ("agent", parent)], [("delegation", f"agent:{parent}", f"agent:{child}")]) for at, child, parent in said]
     stated = spark.createDataFrame(rows, "recording_id string, mono_ns bigint, sequence bigint, event_id string, nodes array<struct<kind: string, entity: string>>, edges array<struct<kind: string, src: string, dst: string>>")
     assert {r["node_id"]: r["depth"] for r in T.delegation_depth(stated).collect()} == {"agent:x": 0, "agent:b": 1, "agent:r": 0, "agent:k": 1}
+
+
+def test_ranks_are_exact_however_the_values_lie(spark):
+    """Nearest ranks of spread, clustered, tied, negative and single values equal those of the sorted list."""
+    from beaconlake.operators.metrics import nearest_ranks
+
+    rng = random.Random(6)
+    groups = {
+        "spread": [rng.randrange(10**12) for _ in range(900)], "close": [10**9 + rng.randrange(3000) for _ in range(900)], "tied": [rng.choice([5, 5, 5, 7]) for _ in range(90)],
+        "signed": [rng.randrange(-50, 50) for _ in range(300)], "one": [0], "two": [3, 9], "tail": [1] * 94 + [10**15] * 6,
+    }
+    rows = [(k, v, v / 7) for k, some in groups.items() for v in some] + [("null", None, None), ("one", None, None)]
+    table = spark.createDataFrame(rows, "k string, v bigint, x double")
+    for column in ("v", "x"):
+        got = {r["k"]: (r["count"], r["p50"], r["p95"], r["max"]) for r in nearest_ranks(table, ["k"], F.col(column)).collect()}
+        at = lambda some, p: sorted(some)[max(1, -(-p * len(some) // 100)) - 1]
+        want = {k: [x / 7 if column == "x" else x for x in some] for k, some in groups.items()}
+        assert got == {k: (len(some), at(some, 50), at(some, 95), max(some)) for k, some in want.items()}
