@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconlake.operators import compare as C
+from beaconlake.operators import cursors as K
 from beaconlake.operators import detectors as D
 from beaconlake.operators import gpu, manifests, metrics, replay
 from beaconlake.operators import related as X
@@ -14,7 +15,8 @@ from beaconlake.plans import driver_tables as dt
 from beaconlake.plans import oracle_core as O
 from beaconlake.plans.queries_core import _latency_sql
 from beaconlake.plans.queries_topology import EDGES_SQL, NODES_SQL, graph_sql
-from beaconlake.plans.registry import query, r6
+from beaconlake.plans import queries_series  # noqa: F401 (its check text is reused here)
+from beaconlake.plans.registry import DUCK_ERROR, ORACLES, query, r6
 from beaconlake.session import cut_lineage
 
 core, agents, pipe = dt.core_events, dt.agent_events, dt.pipe_events
@@ -265,7 +267,7 @@ def request_lineage(spark, d):
 
 # -- cursors ------------------------------------------------------------------
 
-_CURS = ((1, 400_000_000_000), (2, 1_200_000_000_000), (3, 2_500_000_000_000))
+_CURS = tuple((i, i * 65_000_000_000) for i in range(41))
 _CUR_SQL = ", ".join(f"({i}, {ns})" for i, ns in _CURS)
 
 
@@ -273,25 +275,56 @@ def _at(view: str) -> str:
     return dt.duck_with(view).replace(", ev AS (", ", whole AS (", 1) + f", cur_(c, at_) AS (VALUES {_CUR_SQL}), ev AS (SELECT whole.* REPLACE (recording_id || '@' || c AS recording_id) FROM whole JOIN cur_ ON mono_ns <= at_)"
 
 
-def _prefixes(spark, events):
-    marks = events.select("recording_id").distinct().withColumn("c", F.explode(F.array(*[F.struct(F.lit(str(i)).alias("cursor_id"), F.lit(ns).alias("at_ns")) for i, ns in _CURS])))
-    return replay.at_cursors(events, marks.select("recording_id", "c.cursor_id", "c.at_ns"))
+def _cursors(events):
+    return events.select("recording_id").distinct().withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("cursor_id"), F.lit(ns).alias("at_ns")) for i, ns in _CURS]))).select("recording_id", "c.cursor_id", "c.at_ns")
 
 
-@query("metrics_at", _at("core") + O.READ + O.SPAN + _latency_sql("spans", "recording_id", "(end_ns - start_ns)"))
+_METRICS_AT = f"""{_at('core')}{O.READ}{O.SPAN}{_latency_sql('spans', 'recording_id', '(end_ns - start_ns)').replace(chr(10) + ' SELECT ', ', lat AS (SELECT ', 1)}),
+ grid AS (SELECT DISTINCT whole.recording_id || '@' || c AS recording_id FROM whole, cur_),
+ cnt AS (SELECT recording_id, COUNT(*) AS events, COUNT(*) FILTER ({DUCK_ERROR}) AS errors, COUNT(*) FILTER (event_type = 'tool.called') AS tools_called, COUNT(*) FILTER (event_type = 'tool.completed') AS tools_completed,
+  COUNT(*) FILTER (event_type = 'tool.failed') AS tools_failed, COUNT(*) FILTER (event_type LIKE 'agent.%' OR event_type LIKE 'route.%') AS agent_transitions, COUNT(*) FILTER (event_type = 'agent.spawned' AND agent_id IS NOT NULL) AS agents_spawned,
+  COUNT(*) FILTER (event_type = 'agent.completed' AND agent_id IS NOT NULL) AS agents_completed, COUNT(*) FILTER (event_type IN ('kv.pressure', 'guard.budget_pressure')) AS pressure_events FROM ev GROUP BY 1),
+ ag AS (SELECT recording_id, COUNT(*) AS agents_active FROM (SELECT recording_id, agent_id, arg_max(event_type, mono_ns) AS s FROM ev WHERE agent_id IS NOT NULL AND event_type IN ('agent.spawned', 'agent.started', 'agent.completed', 'agent.cancelled') GROUP BY 1, 2) WHERE s IN ('agent.spawned', 'agent.started') GROUP BY 1),
+ tl AS (SELECT recording_id, COUNT(*) AS tools_active FROM (SELECT recording_id, a_tool_call_id, arg_max(event_type, mono_ns) AS s FROM ev WHERE a_tool_call_id IS NOT NULL AND event_type IN ('tool.called', 'tool.completed', 'tool.failed') GROUP BY 1, 2) WHERE s = 'tool.called' GROUP BY 1),
+ dr AS (SELECT recording_id, SUM(n) AS dropped_events FROM (SELECT recording_id, stream, arg_max(n, mono_ns) AS n FROM (SELECT recording_id, stream, mono_ns, COALESCE(a_dropped_count, a_dropped_events) AS n FROM y WHERE event_type = 'telemetry.dropped') WHERE n > 0 GROUP BY 1, 2) GROUP BY 1),
+ rq AS (SELECT recording_id, COUNT(*) AS requests, COUNT(*) FILTER (outcome = 'completed') AS requests_completed, COUNT(*) FILTER (outcome = 'failed') AS requests_failed, COUNT(*) FILTER (outcome = 'cancelled') AS requests_cancelled FROM spans GROUP BY 1),
+ me AS (SELECT recording_id, MAX(f) AS peak_fraction, arg_max(f, mono_ns) AS latest_fraction FROM (SELECT *, CASE WHEN a_used_bytes IS NOT NULL AND a_total_bytes > 0 THEN a_used_bytes WHEN a_total_bytes > 0 AND a_available_bytes BETWEEN 0 AND a_total_bytes THEN a_total_bytes - a_available_bytes END / a_total_bytes AS f
+  FROM ev WHERE event_type = 'device.memory.sample') WHERE f IS NOT NULL GROUP BY 1),
+ cu AS (SELECT recording_id, arg_max(a_utilization, mono_ns) AS latest_compute FROM ev WHERE event_type = 'device.compute.sample' AND a_utilization IS NOT NULL GROUP BY 1)
+ SELECT recording_id, COALESCE(events, 0) AS events, COALESCE(errors, 0) AS errors, COALESCE(tools_called, 0) AS tools_called, COALESCE(tools_completed, 0) AS tools_completed, COALESCE(tools_failed, 0) AS tools_failed, COALESCE(agent_transitions, 0) AS agent_transitions,
+  COALESCE(agents_spawned, 0) AS agents_spawned, COALESCE(agents_completed, 0) AS agents_completed, COALESCE(pressure_events, 0) AS pressure_events, COALESCE(agents_active, 0) AS agents_active, COALESCE(tools_active, 0) AS tools_active,
+  CAST(COALESCE(requests, 0) AS BIGINT) AS requests, COALESCE(requests_completed, 0) AS requests_completed, COALESCE(requests_failed, 0) AS requests_failed, COALESCE(requests_cancelled, 0) AS requests_cancelled, CAST(COALESCE(dropped_events, 0) AS DOUBLE) AS dropped_events,
+  ROUND(peak_fraction, 6) AS peak_fraction, ROUND(latest_fraction, 6) AS latest_fraction, ROUND(latest_compute, 6) AS latest_compute, COALESCE(lat.count, 0) AS finished, p50_ms, p95_ms, max_ms
+ FROM grid LEFT JOIN cnt USING (recording_id) LEFT JOIN ag USING (recording_id) LEFT JOIN tl USING (recording_id) LEFT JOIN dr USING (recording_id) LEFT JOIN rq USING (recording_id) LEFT JOIN me USING (recording_id) LEFT JOIN cu USING (recording_id) LEFT JOIN lat USING (recording_id)"""
+
+
+@query("metrics_at", _METRICS_AT)
 def metrics_at(spark, d):
-    out = metrics.latency_stats(request_spans(_prefixes(spark, core(spark, d))))
-    return out.select("recording_id", "count", r6("p50_ms"), r6("p95_ms"), r6("max_ms"))
+    ev = core(spark, d)
+    out = K.metrics_at(ev, _cursors(ev))
+    floats = {"peak_fraction", "latest_fraction", "latest_compute", "p50_ms", "p95_ms", "max_ms"}
+    return out.select(*(r6(c) if c in floats else F.col(c) for c in out.columns))
 
 
-@query(
-    "gpu_at",
-    f"""{_at('pipe')}, g AS (SELECT recording_id, COUNT(*) FILTER (event_type = 'backend.gpu_memory.sample') AS samples, COUNT(DISTINCT CASE WHEN event_type = 'backend.warning' THEN a_code END) AS codes FROM ev
- WHERE event_type = 'backend.gpu_memory.sample' OR (event_type = 'backend.warning' AND a_code IS NOT NULL) GROUP BY 1) SELECT recording_id, samples, codes FROM g""",
-)
+_GRAPH_AT = graph_sql(_at("agents"))
+
+
+@query("topology_nodes_at", f"{_GRAPH_AT} {NODES_SQL}")
+def topology_nodes_at(spark, d):
+    ev = agents(spark, d)
+    return K.topology_nodes_at(T.mentions(ev), _cursors(ev))
+
+
+@query("topology_edges_at", f"{_GRAPH_AT} {EDGES_SQL}")
+def topology_edges_at(spark, d):
+    ev = agents(spark, d)
+    return K.topology_edges_at(T.mentions(ev), _cursors(ev))
+
+
+@query("gpu_at", f"SELECT recording_id, backend_key, backend, samples, latest_event_id, dedicated_bytes, shared_bytes, spilled, fitted_ctx, warning_codes FROM ({ORACLES['gpu_backends'].replace(dt.duck_with('pipe'), _at('pipe'))})")
 def gpu_at(spark, d):
-    rows = gpu.gpu_rows(_prefixes(spark, pipe(spark, d)))
-    return rows.groupBy("recording_id").agg(F.count("sample").alias("samples"), F.count_distinct("code").alias("codes"))
+    ev = pipe(spark, d)
+    return K.gpu_at(ev, _cursors(ev))
 
 
 @query(
