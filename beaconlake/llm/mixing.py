@@ -1,8 +1,9 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each document of a source expects target / source size copies. Within the source the
-expected copies are prefix-summed along a shuffled order, one offset drawn for the source is added,
-and a document is emitted once per integer boundary that its stretch crosses. The prefix sums come
+expected copies are prefix-summed along the documents' order, one offset drawn for the source is added,
+and a document is emitted once per integer boundary that its stretch crosses. The order goes by size class (four to the doubling) and inside a class by a
+digest of the id, so every stretch of the order stands for its share of words and one offset brings each source near its target. The prefix sums come
 in two steps, ranks inside slices of a source and offsets between its slices, so a source
 that holds a third of all rows is spread over many tasks.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import n_words, stored, text_hash, text_of
 
 STEPS = 1 << 20
+SHARES = 8  # rows of a source lie in slices of one size class each, so slices are cut this much longer
 
 
 def shuffled(doc_id: Column) -> Column:
@@ -45,37 +47,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return per.select("source", "source_size", "n_docs", F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, draws: int = 32, slice_rows: int = 100_000) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, slice_rows: int = 100_000) -> DataFrame:
     """One row per input row: doc_id, text_key, source, size, source_size, target, copies, taken.
 
-    ``size`` is the number of words. Of ``draws`` seeded offsets per source the one whose mix comes nearest to the target is used,
-    so reruns agree. No document is emitted more than ``cap`` times. Documents without words (null texts too) expect
-    no copies. A null source is a source of its own, placed last; null ids come first in the order; repeated rows are ranked
-    one after another. Other columns are not read; an empty table gives an empty plan.
+    ``size`` is the number of words. The offset of a source is a digest of its name and ``seed``, so reruns agree. No document is emitted more
+    than ``cap`` times. Documents without words (null texts too) expect no copies. A null source is a source of its own, placed last; null ids
+    come first in their size class; repeated rows are ranked one after another. Other columns are not read; an empty table gives an empty plan.
     """
     sizes = stored(docs.select("doc_id", "source", text_hash().alias("text_key"), n_words(text_of()).alias("size")), "sizes")
-    width = math.ceil(2**32 / max(1, math.ceil(sizes.count() / slice_rows)))
-    offsets = [F.conv(F.substring(F.md5(F.concat(F.coalesce("of", F.lit("")), F.lit(f"|{seed}|{d}")).cast("binary")), 1, 5), 16, 10).cast("double") / STEPS for d in range(draws)]
-    rates = stored(source_targets(sizes, weights, cap).withColumnRenamed("source", "of").withColumn("offsets", F.array(*offsets)), "rates")
+    width = math.ceil(2**32 / max(1, math.ceil(sizes.count() / (SHARES * slice_rows))))
+    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("of", F.lit("")), F.lit(f"|{seed}")).cast("binary")), 1, 5), 16, 10).cast("double") / STEPS
+    rates = source_targets(sizes, weights, cap).withColumnRenamed("source", "of").withColumn("offset", offset)
     rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
-    sized = sizes.filter("size > 0").withColumn("place", shuffled(F.col("doc_id"))).withColumn("slice", F.floor(F.col("place") / width).cast("int"))
-    slices = sized.groupBy(F.col("source").alias("of"), F.col("slice").alias("part")).agg(F.count("*").alias("n"))
-    starts = slices.withColumn("start", F.coalesce(F.sum("n").over(W.partitionBy("of").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(W.partitionBy("source", "slice").orderBy("place", "doc_id", "text_key"))
-    ranked = sized.withColumn("inside", inside).join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("part")))
-    ranked = stored(ranked.select("doc_id", "source", "text_key", "size", (F.col("start") + F.col("inside")).alias("rank")), "ranks")
-
-    copies = lambda offset: (F.floor(F.col("rate") * F.col("rank") + offset) - F.floor(F.col("rate") * (F.col("rank") - 1) + offset)).cast("bigint")
-    joined = ranked.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    drawn = joined.groupBy("source").agg(F.first("target").alias("target"), F.first("offsets").alias("offsets"), *(F.sum(copies(F.get("offsets", F.lit(d))) * F.col("size")).alias(f"t{d}") for d in range(draws)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{d}") - F.col("target")).alias("off"), F.lit(d).alias("draw")) for d in range(draws))))
-    best = drawn.select(F.col("source").alias("best_of"), F.get("offsets", nearest["draw"]).alias("offset"))
-    chosen = rates.drop("offsets").join(best, F.col("of").eqNullSafe(F.col("best_of")), "left").drop("best_of")
-
-    empty = sizes.filter("size = 0").withColumn("rank", F.lit(None).cast("bigint"))
-    out = ranked.unionByName(empty).join(chosen, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    n = F.when(F.col("rank").isNull(), F.lit(0)).otherwise(copies(F.col("offset"))).cast("bigint")
+    level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4) + 1).otherwise(0).cast("int")
+    sized = sizes.withColumn("place", shuffled(F.col("doc_id"))).withColumn("level", level).withColumn("part", F.floor(F.col("place") / width).cast("int"))
+    slices = sized.groupBy("source", "level", "part").agg(F.count_if(F.col("size") > 0).alias("n"))
+    before = F.sum("n").over(W.partitionBy("source").orderBy("level", "part").rowsBetween(W.unboundedPreceding, -1))
+    slices = slices.select("source", F.col("level").alias("of_level"), F.col("part").alias("of_part"), F.coalesce(before, F.lit(0)).alias("start"))
+    # What holds for a source reaches its rows through its slices, so that no task meets all rows of a source.
+    slices = slices.join(rates, F.col("source").eqNullSafe(F.col("of"))).select("of", "of_level", "of_part", "start", "source_size", "target", "rate", "offset")
+    ranked = sized.withColumn("inside", F.row_number().over(W.partitionBy("source", "level", "part").orderBy("place", "doc_id", "text_key")))
+    out = ranked.join(slices, F.col("source").eqNullSafe(F.col("of")) & (F.col("level") == F.col("of_level")) & (F.col("part") == F.col("of_part")))
+    rank = F.col("start") + F.col("inside")
+    copies = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1) + F.col("offset"))
+    n = F.when(F.col("size") == 0, F.lit(0)).otherwise(copies).cast("bigint")
     return out.select("doc_id", "text_key", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
