@@ -10,6 +10,7 @@ from a heap, so one endless word doesn't cost the square of its length.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 SCAN_BYTES = 96
-CACHE_PIECES = 60_000
+CACHE_WORDS = 80_000  # of the younger generation of coded words; it becomes the older one, which is dropped then
 TOGETHER = 1 << 20  # characters coded at once, whole texts
 NEVER = 1 << 60
+MARKS, BASIC = frozenset(".,;:!?"), "\u0250"  # letters below are letters in any version of the character tables
 Coded = tuple[int, str, bytes]  # number of tokens, their ids joined by commas, the bytes they decode to
 UNEVEN = regex.compile(r"\s | $").search
 # Pre-tokeniser pattern of the vocabulary (fixed by the file format).
@@ -66,8 +68,8 @@ class Bpe:
         self.text_of |= {i: str(i) for i in self.special.values()}
         self.pieces = regex.compile(PATTERN).findall
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, Coded] = {}
-        self.spaced: dict[str, Coded] = {}
+        self.young: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
 
     def _lay_out(self) -> None:
         """Hash table of the pair ranks in two arrays, so that many pairs are looked up at once."""
@@ -155,16 +157,17 @@ class Bpe:
                         heapq.heappush(heap, (ranks[j], j))
         return [part for part, follows in zip(parts, after) if follows]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Code the pieces that aren't known yet; about ``CACHE_PIECES`` are kept."""
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        new = list(pieces - self.known.keys())
-        for piece, ids in zip(new, self.merge([x.encode("utf-8", "surrogatepass") for x in new])):
-            self.known[piece] = len(ids), ",".join([self.text_of[i] for i in ids]), self.decode_bytes(ids)
-
-    def joined(self, pieces: list[str]) -> Coded:
-        coded = [self.known[p] for p in pieces]
+    def coded(self, pieces: list[str]) -> dict[str, Coded]:
+        known = {}
+        for piece, ids in zip(pieces, self.merge([x.encode("utf-8", "surrogatepass") for x in pieces])):
+            known[piece] = len(ids), ",".join([self.text_of[i] for i in ids]), self.decode_bytes(ids)
+        return known
+
+    @staticmethod
+    def joined(known: dict[str, Coded], pieces: list[str]) -> Coded:
+        if len(pieces) == 1:
+            return known[pieces[0]]
+        coded = [known[p] for p in pieces]
         return sum([c[0] for c in coded]), ",".join([c[1] for c in coded]), b"".join([c[2] for c in coded])
 
     def split(self, text: str) -> list[tuple[str, list[str]]]:
@@ -182,23 +185,34 @@ class Bpe:
                 out.append((first, words))
         return out
 
+    def pieces_of(self, word: str) -> list[str]:
+        """Pieces of a word after a space. A run of letters is one piece, a mark behind it another; only other words need the pattern."""
+        stem, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+        if stem.isalpha() and max(stem) < BASIC:
+            return [" " + stem, mark] if mark else [" " + stem]
+        return self.pieces(" " + word)
+
     def code(self, texts: list[str]) -> list[list[Coded]]:
-        """Each text in coded chunks."""
-        if len(self.spaced) >= CACHE_PIECES:
-            self.spaced.clear()
+        """Each text in coded chunks. Words met in two generations of blocks are not coded again."""
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
         split = [self.split(text) for text in texts]
-        words = set().union(*[w for parts in split for _, w in parts]) - self.spaced.keys()
-        word_pieces = {w: self.pieces(" " + w) for w in words}
+        words = set().union(*[w for parts in split for _, w in parts]) - self.young.keys()
+        again = words & self.old.keys()
+        self.young |= {w: self.old[w] for w in again}
+        word_pieces = {w: self.pieces_of(w) for w in words - again}
         first_pieces = [[None if first in self.special else self.pieces(first) for first, _ in parts] for parts in split]
-        self.learn(set().union(*word_pieces.values(), *[p for firsts in first_pieces for p in firsts if p]))
-        self.spaced |= {w: self.joined(p) for w, p in word_pieces.items()}
+        wanted = set().union(*word_pieces.values(), *[p for firsts in first_pieces for p in firsts if p])
+        known = {p: self.young[p[1:]] for p in wanted if p[0] == " " and p[1:] in self.young}  # a word that came before, now with a mark behind it
+        known |= self.coded(list(wanted - known.keys()))
+        self.young |= {w: self.joined(known, p) for w, p in word_pieces.items()}
         out = []
         for parts, firsts in zip(split, first_pieces):
             coded: list[Coded] = []
             for (first, rest), pieces in zip(parts, firsts):
                 i = self.special.get(first)
-                coded.append(self.joined(pieces) if i is None else (1, self.text_of[i], self.bytes_of[i]))
-                coded += [self.spaced[w] for w in rest]
+                coded.append(self.joined(known, pieces) if i is None else (1, self.text_of[i], self.bytes_of[i]))
+                coded += [self.young[w] for w in rest]
             out.append(coded)
         return out
 
@@ -221,6 +235,7 @@ def loaded(path: str) -> Bpe:
 def encode_batches(path: str, with_ids: bool, with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
+        gc.disable()  # a block makes hundreds of thousands of tuples and no cycles
         for frame in frames:
             texts = [x if isinstance(x, str) else "" for x in frame["text"]]
             start = 0
@@ -243,6 +258,7 @@ def encode_batches(path: str, with_ids: bool, with_text: bool) -> Callable[[Iter
                 out = {"doc_id": frame["doc_id"].iloc[start:stop].reset_index(drop=True), "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": id_hashes, "decoded_sha256": text_hashes}
                 yield pd.DataFrame(out | ({"ids": lists} if with_ids else {}) | ({"decoded": decoded} if with_text else {}))
                 start = stop
+        gc.enable()
 
     return run
 
