@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconlake.functions import readings as R
@@ -11,7 +12,8 @@ from beaconlake.operators import detectors as D
 from beaconlake.operators import islands
 from beaconlake.plans import driver_tables as dt
 from beaconlake.plans import oracle_core as O
-from beaconlake.plans.registry import DUCK_CLASS, query, r6
+from beaconlake.plans.registry import DUCK_CLASS, ORACLES, query, r6
+from beaconlake.session import cut_lineage
 
 core, agents = dt.core_events, dt.agent_events
 EV, BASE = O.EV, O.BASE
@@ -193,7 +195,21 @@ def tool_outcomes(spark, d):
     return found.where("event_type IN ('tool.completed', 'tool.failed') AND call IS NOT NULL").select("recording_id", F.col("call.event_id").alias("call_event_id"), F.col("event_id").alias("outcome_event_id"))
 
 
-@query("det_duplicate_worker")
+_DUPLICATE = f"""{AG}, life AS (SELECT *, event_type = 'agent.spawned' AS spawn, CASE WHEN event_type = 'agent.spawned' THEN COALESCE(a_task, task_id) END AS own FROM ev
+  WHERE event_type IN ('agent.spawned', 'agent.completed', 'agent.cancelled') AND agent_id IS NOT NULL),
+ tk AS (SELECT *, LAST_VALUE(own IGNORE NULLS) OVER (PARTITION BY recording_id, agent_id ORDER BY mono_ns) AS task FROM life WHERE NOT spawn OR own IS NOT NULL),
+ ins AS (SELECT *, COALESCE(LAG(spawn) OVER (PARTITION BY recording_id, task, agent_id ORDER BY mono_ns), FALSE) AS was FROM tk WHERE task IS NOT NULL),
+ st AS (SELECT *, CASE WHEN spawn AND NOT was THEN 1 WHEN NOT spawn AND was THEN -1 ELSE 0 END AS step FROM ins), sz AS (SELECT *, SUM(step) OVER (PARTITION BY recording_id, task ORDER BY mono_ns) AS size FROM st),
+ pd AS (SELECT *, LAST_VALUE(CASE WHEN size = 1 AND step = 1 THEN mono_ns END IGNORE NULLS) OVER (PARTITION BY recording_id, task ORDER BY mono_ns) AS period FROM sz), pp AS (SELECT * FROM pd WHERE size - step > 0 OR step = 1),
+ op AS (SELECT recording_id, task, period, MIN(mono_ns) AS opens FROM pp WHERE step = 1 AND size > 1 GROUP BY ALL), rw AS (SELECT pp.*, opens FROM pp JOIN op USING (recording_id, task, period)),
+ mb AS (SELECT recording_id, task, period, agent_id, event_id, mono_ns, event_type FROM rw WHERE mono_ns >= opens AND (event_type <> 'agent.spawned' OR step = 1)
+  UNION ALL SELECT recording_id, task, period, agent_id, event_id, mono_ns, event_type FROM (SELECT * FROM rw WHERE mono_ns < opens QUALIFY ROW_NUMBER() OVER (PARTITION BY recording_id, task, period, agent_id ORDER BY mono_ns DESC) = 1) WHERE event_type = 'agent.spawned')
+ SELECT recording_id, 'duplicate-worker:' || arg_min(event_id, mono_ns) AS finding_id, CASE WHEN COUNT(DISTINCT agent_id) FILTER (event_type = 'agent.spawned') >= 3 THEN 'critical' ELSE 'warning' END AS severity, {_STATS}, task,
+  COUNT(DISTINCT agent_id) FILTER (event_type = 'agent.spawned') AS agents FROM mb GROUP BY recording_id, task, period
+ UNION ALL SELECT recording_id, 'duplicate-worker:' || event_id, 'warning', 1, mono_ns, mono_ns, NULL, NULL FROM ev WHERE event_type = 'guard.duplicate_work'"""
+
+
+@query("det_duplicate_worker", _DUPLICATE)
 def det_duplicate_worker(spark, d):
     found = D.duplicate_worker(agents(spark, d)).findings
     return found.select(*_COLS, _fact("task"), _fact("agents", "bigint"))
@@ -288,26 +304,57 @@ def det_resource_pressure(spark, d):
     return D.resource_pressure(core(spark, d)).findings.select(*_COLS, _fact("scope"), r6(F.col("facts")["peak_fraction"], "peak_fraction"))
 
 
-_KINDS = ("retry-storm", "error-burst")
-_TWO = f"""{EV}, f1 AS (SELECT * FROM ev WHERE event_type = 'retry.scheduled'), f2 AS (SELECT * FROM ev WHERE {FAIL}){burst_sql('f1', 'recording_id', 3, 10000000000, 'x')}{burst_sql('f2', 'recording_id', 3, 5000000000, 'z')},
- fs AS (SELECT recording_id, 'retry-storm' AS kind, 'retry-storm:' || arg_min(event_id, mono_ns) AS finding_id, {_sev('COUNT(*)', 3)} AS severity, MIN(mono_ns) AS start_ns, MAX(mono_ns) AS end_ns FROM x GROUP BY recording_id, isl
-  UNION ALL SELECT recording_id, 'error-burst', 'error-burst:' || arg_min(event_id, mono_ns), {_sev('COUNT(*)', 3)}, MIN(mono_ns), MAX(mono_ns) FROM z GROUP BY recording_id, isl)"""
+# All ten detectors, with the thresholds of the checks of each one.
+_CONFIG = D.Config().override(budget={"warn": 0.3, "critical": 0.6}, cache_thrash=_CT, latency={"factor": 1.4})
+_CHECKS = {
+    "budget-pressure": ("det_budget_pressure_usage", "det_budget_pressure"), "compaction": ("det_compaction",), "no-progress-loop": ("det_no_progress",), "duplicate-worker": ("det_duplicate_worker",),
+    "retry-storm": ("det_retry_storm",), "cache-thrash": ("det_cache_thrash",), "model-churn": ("det_model_churn",), "latency-outlier": ("det_latency_outlier",), "error-burst": ("det_error_burst",), "resource-pressure": ("det_resource_pressure",),
+}
+
+
+# Events of the core view (recordings c/...) and of the agent view (a/...), so that every detector meets what it looks for.
+_BOTH = f"WITH ev AS (SELECT * REPLACE ('c/' || recording_id AS recording_id) FROM ({EV} SELECT * FROM ev) UNION ALL BY NAME SELECT * REPLACE ('a/' || recording_id AS recording_id) FROM ({AG} SELECT * FROM ev))"
+
+
+def _both(spark, d) -> DataFrame:
+    led = lambda ev, lead: ev.withColumn("recording_id", F.concat(F.lit(lead), "recording_id"))
+    return led(core(spark, d), "c/").unionByName(led(agents(spark, d), "a/"), allowMissingColumns=True)
+
+
+def _check_of(kind: str, name: str) -> str:
+    text, view = ORACLES[name], AG if AG[5:] in ORACLES[name] else EV
+    text = text.replace(view[5:], _BOTH[5:])
+    if name == "det_budget_pressure":
+        text = text.replace(">= 0.95", ">= 0.6").replace(">= 0.8 ", ">= 0.3 ")
+    return f"SELECT recording_id, '{kind}' AS kind, finding_id, severity, start_ns, end_ns, CAST(evidence_count AS BIGINT) AS evidence_count FROM ({text})"
+
+
+_ALL = "WITH fs AS (" + " UNION ALL ".join(_check_of(kind, name) for kind, names in _CHECKS.items() for name in names) + ")"
+_ROW = ("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns", "evidence_count")
+_FOUND: dict[tuple[str, str], DataFrame] = {}
+
+
+def _findings(spark, d) -> DataFrame:
+    """Findings of all ten detectors, computed once per session for the queries that only sort, filter or count them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FOUND:
+        _FOUND[key] = cut_lineage(D.run_all(_both(spark, d), _CONFIG).findings)
+    return _FOUND[key]
 
 
-@query("union_findings", f"{_TWO} SELECT * FROM fs ORDER BY recording_id, start_ns, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, finding_id")
+@query("union_findings", f"{_ALL} SELECT * FROM fs ORDER BY recording_id, start_ns, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, finding_id")
 def union_findings(spark, d):
-    return D.in_order(D.run_all(core(spark, d), kinds=_KINDS).findings).select("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns")
+    return D.in_order(_findings(spark, d)).select(*_ROW)
 
 
-@query("filter_findings", f"{_TWO} SELECT * FROM fs WHERE severity <> 'info' AND kind = 'error-burst'")
+@query("filter_findings", f"{_ALL} SELECT * FROM fs WHERE severity <> 'info' AND kind IN ('error-burst', 'compaction', 'latency-outlier', 'no-progress-loop')")
 def filter_findings(spark, d):
-    found = D.run_all(core(spark, d), kinds=_KINDS).findings
-    return D.filter_findings(found, "warning", ["error-burst"]).select("recording_id", "kind", "finding_id", "severity", "start_ns", "end_ns")
+    return D.filter_findings(_findings(spark, d), "warning", ["error-burst", "compaction", "latency-outlier", "no-progress-loop"]).select(*_ROW)
 
 
-@query("severity_counts", f"{_TWO} SELECT recording_id, COUNT(*) FILTER (severity = 'critical') AS critical, COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info FROM fs GROUP BY 1")
+@query("severity_counts", f"{_ALL} SELECT recording_id, COUNT(*) FILTER (severity = 'critical') AS critical, COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info FROM fs GROUP BY 1")
 def severity_counts(spark, d):
-    return D.severity_counts(D.run_all(core(spark, d), kinds=_KINDS).findings)
+    return D.severity_counts(_findings(spark, d))
 
 
 @query(
@@ -320,7 +367,7 @@ def resolve_evidence(spark, d):
     return D.resolve_evidence(D.error_burst(ev).evidence, ev, event_class()).withColumn("rel_s", r6("rel_s"))
 
 
-@query("findings")
+@query("findings", f"{_ALL} SELECT recording_id, kind, finding_id, severity, start_ns, end_ns, evidence_count FROM fs")
 def findings(spark, d):
-    """All ten detectors over the agent view."""
-    return D.in_order(D.run_all(agents(spark, d)).findings)
+    """All ten detectors in one plan."""
+    return D.in_order(D.run_all(_both(spark, d), _CONFIG).findings).select(*_ROW)

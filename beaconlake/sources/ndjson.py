@@ -82,23 +82,34 @@ def _is_object(path: str) -> Column:
     return F.col(_name("o", path))
 
 
+def _members(parent: str) -> list[str]:
+    """Members of the event (``parent`` empty) or of one of its objects that are looked at."""
+    paths = (*_TEXTS, *_NUMBERS, *_FLAGS, *_OBJECTS)
+    return list(dict.fromkeys(p.removeprefix(f"{parent}.") if parent else p for p in paths if (p.startswith(f"{parent}.") if parent else "." not in p)))
+
+
 def _with_parts(parsed: DataFrame) -> DataFrame:
-    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    """``parsed`` with the shapes and typed values of the parts of ``v``.
+
+    An object is walked once, into a struct of its members as variants: an absent member is null, a JSON null is not, and what is no object gives no struct.
+    """
+    walked = lambda value, parent: F.try_variant_get(value, "$", f"struct<{','.join(f'{m}:variant' for m in _members(parent))}>")
+    whole = parsed.select("*", walked(F.col("v"), "").alias("_e"))
+    parts = whole.select("*", walked(F.col("_e.producer"), "producer").alias("_producer"), walked(F.col("_e.sampling"), "sampling").alias("_sampling"))
+    at = lambda path: F.col(f"_{path}") if "." in path else F.col(f"_e.{path}")
     shapes = [F.schema_of_variant(at(p)).alias(_name("s", p)) for p in (*_TEXTS, *_NUMBERS, *_FLAGS)]
-    # Reading one member as a struct tells an object from anything else without walking it.
-    is_object = lambda path: F.coalesce(F.try_variant_get("v", path, "struct<_:variant>").isNotNull(), F.lit(False))
-    objects = [c for p in _OBJECTS for c in (at(p).isNotNull().alias(_name("p", p)), is_object(f"$.{p}").alias(_name("o", p)))]
-    typed = parsed.select("*", is_object("$").alias("o_top"), *shapes, *objects)
-    texts = [F.when(_shape(p) == "STRING", F.try_variant_get("v", f"$.{p}", "string")).alias(_name("t", p)) for p in _TEXTS]
+    is_object = {"producer": F.col("_producer"), "sampling": F.col("_sampling"), "attributes": F.try_variant_get(at("attributes"), "$", "struct<_:variant>")}
+    objects = [c for p, struct in is_object.items() for c in (at(p).isNotNull().alias(_name("p", p)), struct.isNotNull().alias(_name("o", p)))]
+    typed = parts.select("*", F.col("_e").isNotNull().alias("o_top"), *shapes, *objects)
+    texts = [F.when(_shape(p) == "STRING", F.try_variant_get(at(p), "$", "string")).alias(_name("t", p)) for p in _TEXTS]
+    number = lambda p, kind: F.try_variant_get(at(p), "$", kind)
     numbers = [
-        F.when(_shape(p) == "BIGINT", F.try_variant_get("v", f"$.{p}", "bigint"))
-        .when(
-            (_shape(p) == "DOUBLE") | _shape(p).startswith("DECIMAL"),
-            F.when(F.try_variant_get("v", f"$.{p}", "double") == F.floor(F.try_variant_get("v", f"$.{p}", "double")), F.try_variant_get("v", f"$.{p}", "bigint")),
-        ).alias(_name("n", p))
+        F.when(_shape(p) == "BIGINT", number(p, "bigint"))
+        .when((_shape(p) == "DOUBLE") | _shape(p).startswith("DECIMAL"), F.when(number(p, "double") == F.floor(number(p, "double")), number(p, "bigint"))).alias(_name("n", p))
         for p in _NUMBERS
     ]
-    return typed.select("*", *texts, *numbers)
+    flags = [F.when(_shape(p) == "BOOLEAN", number(p, "boolean")).alias(_name("b", p)) for p in _FLAGS]
+    return typed.select("*", *texts, *numbers, *flags, at("attributes").alias("v_attributes")).drop("_e", "_producer", "_sampling")
 
 
 def wall_timestamp(text: Column) -> Column:
@@ -147,16 +158,16 @@ def envelope_columns() -> list[Column]:
     """Envelope columns of a valid event."""
     producer = F.struct(
         *[_text(f"producer.{k}").alias(k) for k in ("name", "version", "node_id", "instance_id", "role")],
-        F.when(_shape("producer.synthetic") == "BOOLEAN", F.try_variant_get("v", "$.producer.synthetic", "boolean")).alias("synthetic"),
+        F.col(_name("b", "producer.synthetic")).alias("synthetic"),
     )
     sampling = F.when(
         _present("sampling"),
-        F.struct(_text("sampling.level").alias("level"), F.when(_shape("sampling.sampled") == "BOOLEAN", F.try_variant_get("v", "$.sampling.sampled", "boolean")).alias("sampled")),
+        F.struct(_text("sampling.level").alias("level"), F.col(_name("b", "sampling.sampled")).alias("sampled")),
     )
     return [
         *[_text(k).alias(k) for k in ("schema", "event_id", "event_type", "wall_time", "session_id", *ID_FIELDS)],
         _whole("sequence").alias("sequence"), _whole("mono_ns").alias("mono_ns"), wall_timestamp(_text("wall_time")).alias("wall_ts"),
-        producer.alias("producer"), sampling.alias("sampling"), F.try_variant_get("v", "$.attributes", "variant").alias("attributes"), F.col("v").alias("extra"),
+        producer.alias("producer"), sampling.alias("sampling"), F.col("v_attributes").alias("attributes"), F.col("v").alias("extra"),
     ]
 
 
