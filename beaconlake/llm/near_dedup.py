@@ -152,6 +152,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
 
 def distinct_documents(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group of near copies, with its own columns."""
-    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("_n_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_n_id")), "left_semi")
+    """One row of each group of near copies, with its own columns: that with the smallest doc_id (no id comes last), of equal ids any one.
+
+    Every row is told apart by a number of its own, so rows without id, rows that repeat an id and ids that are no numbers are compared like all others.
+    """
+    row = "_n_row"
+    while row in docs.columns:
+        row = "_" + row
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_n_at"), "component_id")
+    each = rows.select(F.col(row).alias("_n_at"), F.col("doc_id").alias("_n_id")).join(groups, "_n_at")
+    first = each.groupBy("component_id").agg(F.min(F.struct(F.col("_n_id").isNull(), "_n_id", "_n_at"))["_n_at"].alias(row))
+    return rows.join(first.select(row), row, "left_semi").select(*docs.columns)

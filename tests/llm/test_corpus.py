@@ -101,6 +101,12 @@ def test_near_dedup(docs, empty, spark, monkeypatch):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.distinct_documents(docs).columns == docs.columns
 
+    first, other = prose(21, 80), prose(22, 80)
+    near = first.replace(first.split()[40], "changed", 1)
+    rows = [(None, first, "x"), (None, near, "x"), (None, other, "x"), ("b", first, "x"), ("a", first, "x"), ("c", other, "y"), ("c", other, "y"), ("c", prose(23, 80), "z")]
+    left = near_dedup.distinct_documents(spark.createDataFrame(rows, "doc_id string, text string, component_id string")).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([("a", first), ("c", other), ("c", prose(23, 80))])
+
     words = prose(7, 150).split()
     made, rng = [], random.Random(5)
     for i in range(60):
