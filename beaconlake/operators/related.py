@@ -61,6 +61,23 @@ def lineage(rows: DataFrame) -> DataFrame:
     return folded.select(REC, "request", F.when((F.col("p0") == F.col("p1")) & one_run, F.col("p0")).alias("one_parent"), F.when(F.col("r0") == F.col("r1"), F.col("r0")).alias("one_run"))
 
 
+def _children_by_run(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Events of the child requests of ``parents``, dealt to the groups a selected event may ask for.
+
+    ``fits``: ``*`` all children, ``-`` children that name the parent without a run, ``run:x`` the others that name it from run x; an event is once in
+    ``*`` and once in the rest, or once per run. ``itself`` is the request where it names its own id, else empty: only such a request can be the selected
+    event's own. So a selected event meets the first rows of at most two groups, however many children its request has.
+    """
+    named = rows.where("request IS NOT NULL AND parent IS NOT NULL").join(parents, [REC, "parent"], "left_semi")
+    names = named.select(REC, "parent", "request", "run", F.when(F.col("request_id") == F.col("parent"), F.col("request")).otherwise("").alias("itself")).distinct()
+    child = [REC, "parent", "request"]
+    without = names.where("run IS NULL").select(*child, "itself", F.lit("-").alias("fits"))
+    within = names.where("run IS NOT NULL").join(without.select(*child), child, "left_anti").select(*child, "itself", F.concat(F.lit("run:"), "run").alias("fits"))
+    all_ = names.select(*child, "itself").distinct().withColumn("fits", F.lit("*"))
+    dealt = without.unionByName(within).unionByName(all_)
+    return rows.select(REC, "request", *ORD).join(dealt, [REC, "request"])
+
+
 def related_groups(events: DataFrame, selected: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(totals, shown): groups of the selected events (``recording_id, event_id``) with at most ``limit`` rows each."""
     rows = correlated(events)
@@ -82,13 +99,14 @@ def related_groups(events: DataFrame, selected: DataFrame, limit: int = LIMIT) -
 
     # Children: requests whose events name this request as parent, from a run that does not contradict.
     down = selection.where("request_id IS NOT NULL").select(REC, F.col("event_id").alias("selected_id"), F.col("request").alias("own"), F.col("request_id").alias("parent"), F.col("run").alias("own_run"))
-    names = rows.where("request IS NOT NULL AND parent IS NOT NULL").select(REC, "parent", "request", F.col("run").alias("child_run")).distinct()
-    fits = (F.col("request") != F.col("own")) & (F.col("own_run").isNull() | F.col("child_run").isNull() | (F.col("own_run") == F.col("child_run")))
-    children = down.join(names, [REC, "parent"]).where(fits).select(REC, "selected_id", F.col("parent").alias("value"), "request").distinct()
-    used = rows.join(children.select(REC, "request").distinct(), [REC, "request"], "left_semi")
-    label = [F.lit("children").alias("kind"), F.col("value")]
-    totals = children.join(_totals(used, [REC, "request"]), [REC, "request"]).groupBy(REC, "selected_id", *label).agg(F.sum("n").alias("total"))
-    shown = children.join(_heads(used, [REC, "request"], limit), [REC, "request"]).select(REC, "selected_id", *label, *ORD)
+    grouped = _children_by_run(rows, down.select(REC, "parent").distinct())
+    fits = F.when(F.col("own_run").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.lit("-"), F.concat(F.lit("run:"), "own_run")))
+    asked = down.select(REC, "selected_id", "own", "parent", F.explode(fits).alias("fits"))
+    keys = [REC, "parent", "fits", "itself"]
+    label = [F.lit("children").alias("kind"), F.col("parent").alias("value")]
+    other = F.col("itself") != F.col("own")
+    totals = asked.join(_totals(grouped, keys), [REC, "parent", "fits"]).where(other).groupBy(REC, "selected_id", *label).agg(F.sum("n").alias("total"))
+    shown = asked.join(_heads(grouped, keys, limit), [REC, "parent", "fits"]).where(other).select(REC, "selected_id", *label, *ORD)
     parts.append((totals, shown))
 
     totals = reduce(DataFrame.unionByName, [t for t, _ in parts]).where("total > 0")
