@@ -272,7 +272,7 @@ def agent_order(stated: DataFrame) -> DataFrame:
 def delegation_depth(stated: DataFrame) -> DataFrame:
     """Depth of every agent below the delegation roots (depth 0).
 
-    Breadth-first over the delegations, one join per level. Agents that no root
+    Chains of agents that one agent each spawned are jumped by doubling (:func:`_from_roots`). Agents that no root
     reaches hang on a cycle; each of them belongs to the first-seen agent that
     reaches it, found by spreading the smallest first-seen order along the edges.
     A spawn mentions the spawned agent before the one that spawned it.
@@ -282,7 +282,7 @@ def delegation_depth(stated: DataFrame) -> DataFrame:
     links = cut_lineage(spawned.select(REC, F.col("e.src").alias("source"), F.col("e.dst").alias("target")).distinct())
     children = links.select(REC, F.col("target").alias("node_id")).distinct()
     roots = agents.join(children, [REC, "node_id"], "left_anti").select(REC, "node_id", F.lit(0).alias("depth"))
-    reached = _breadth_first(roots, links, None)
+    reached = _from_roots(agents.select(REC, "node_id"), roots.select(REC, "node_id"), links)
 
     left = cut_lineage(agents.join(reached, [REC, "node_id"], "left_anti").withColumn("owner", F.col("seen")))
     if left.isEmpty():
@@ -305,6 +305,46 @@ def delegation_depth(stated: DataFrame) -> DataFrame:
     return reached.unionByName(_breadth_first(starts, inner, left.select(REC, "node_id", "owner")))
 
 
+def _chain_tops(agents: DataFrame, links: DataFrame) -> DataFrame:
+    """(node_id, top, dist): the nearest agent above that has no spawner or several, and the steps to it.
+
+    An agent with one spawner points at it; pointers are doubled, so a chain of n agents takes log n rounds. Those that circle never arrive and are left out.
+    """
+    one = links.groupBy(REC, F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("spawners"), F.min("source").alias("by")).where("spawners = 1")
+    state = agents.join(one, [REC, "node_id"], "left").select(REC, "node_id", F.coalesce("by", "node_id").alias("top"), F.when(F.col("by").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.col("by").isNotNull().alias("open"))
+    state = cut_lineage(state)
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        above = state.select(REC, F.col("node_id").alias("top"), F.col("top").alias("higher"), F.col("dist").alias("more"), F.col("open").alias("goes_on"))
+        step = state.where("open").join(above, [REC, "top"])
+        moved = step.select(REC, "node_id", F.col("higher").alias("top"), (F.col("dist") + F.col("more")).alias("dist"), F.col("goes_on").alias("open"))
+        state = cut_lineage(state.where("NOT open").unionByName(moved))
+        if state.where("open").isEmpty():
+            break
+    return state.where("NOT open").select(REC, "node_id", "top", "dist")
+
+
+def _from_roots(agents: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Shortest distance of every agent that a root reaches.
+
+    Chains shrink to one weighted step between the agents that end them; distances are relaxed over those alone, as often as a shortest path meets
+    an agent with several spawners.
+    """
+    tops = cut_lineage(_chain_tops(agents, links))
+    joints = links.groupBy(REC, F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("spawners")).where("spawners > 1").select(REC, "node_id")
+    into = links.join(joints.withColumnRenamed("node_id", "target"), [REC, "target"]).join(tops.withColumnRenamed("node_id", "source"), [REC, "source"])
+    steps = cut_lineage(into.groupBy(REC, "top", "target").agg((F.min("dist") + 1).alias("cost")))
+    near = cut_lineage(roots.withColumn("depth", F.lit(0).cast("bigint")).withColumn("new", F.lit(True)))
+    while True:
+        offers = near.where("new").select(REC, F.col("node_id").alias("top"), "depth").join(steps, [REC, "top"])
+        offers = offers.groupBy(REC, F.col("target").alias("node_id")).agg(F.min(F.col("depth") + F.col("cost")).alias("offer"))
+        both = near.select(REC, "node_id", "depth").join(offers, [REC, "node_id"], "full_outer")
+        better = F.col("offer").isNotNull() & (F.col("depth").isNull() | (F.col("offer") < F.col("depth")))
+        near = cut_lineage(both.select(REC, "node_id", F.when(better, F.col("offer")).otherwise(F.col("depth")).alias("depth"), better.alias("new")))
+        if near.where("new").isEmpty():
+            break
+    return tops.join(near.select(REC, F.col("node_id").alias("top"), "depth"), [REC, "top"]).select(REC, "node_id", (F.col("depth") + F.col("dist")).cast("int").alias("depth"))
+
+
 def _breadth_first(starts: DataFrame, links: DataFrame, owners: DataFrame | None) -> DataFrame:
     """Shortest distance from the start nodes; with ``owners`` paths stay inside one owner."""
     if owners is not None:

@@ -174,3 +174,21 @@ def test_ranks_are_exact_however_the_values_lie(spark):
         at = lambda some, p: sorted(some)[max(1, -(-p * len(some) // 100)) - 1]
         want = {k: [x / 7 if column == "x" else x for x in some] for k, some in groups.items()}
         assert got == {k: (len(some), at(some, 50), at(some, 95), max(some)) for k, some in want.items()}
+
+
+def test_depth_along_long_chains(spark):
+    """A chain of 3,000 agents, side branches that meet again, and a cycle without a root."""
+    spawned = [(i, i + 1) for i in range(3000)] + [(10, 5000), (5000, 5001), (5001, 2500), (2990, 20), (7000, 7001), (7001, 7000), (7001, 7002)]
+    rows = [("rec", at, 0, f"e{at}", [("agent", f"{child:05}"), ("agent", f"{parent:05}")], [("delegation", f"agent:{parent:05}", f"agent:{child:05}")]) for at, (parent, child) in enumerate(spawned)]
+    stated = spark.createDataFrame(rows, "recording_id string, mono_ns bigint, sequence bigint, event_id string, nodes array<struct<kind: string, entity: string>>, edges array<struct<kind: string, src: string, dst: string>>")
+    near, todo, after = {0: 0}, [0], {}
+    for a, b in spawned:
+        after.setdefault(a, []).append(b)
+    while todo:
+        a = todo.pop(0)
+        for b in after.get(a, ()):
+            if b not in near:
+                near[b] = near[a] + 1
+                todo.append(b)
+    want = {f"agent:{k:05}": v for k, v in near.items()} | {"agent:07001": 0, "agent:07000": 1, "agent:07002": 1}
+    assert {r["node_id"]: r["depth"] for r in T.delegation_depth(stated).collect()} == want
