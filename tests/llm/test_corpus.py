@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -256,6 +257,16 @@ def test_license_scan_in_long_lines(spark):
     model = license_scan.fit(spark.createDataFrame(plain, "doc_id bigint, text string"))
     got = {r.doc_id: (r.n_notices, r.families) for r in license_scan.scan(table, model).collect()}
     assert {i: got[i] for i in wanted} == wanted
+    wrapped, wanted = [], {}
+    for i, (family, text) in enumerate([("apache-2.0", "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"), ("mit", license_scan.TEMPLATES["mit"][2]), ("gpl", license_scan.TEMPLATES["gpl"][1]), ("bsd", license_scan.TEMPLATES["bsd"][1])]):
+        for lead, width in (("# ", 60), (" * ", 40), ("", 25)):
+            wanted[7000 + len(wrapped)] = family
+            notice = "\n".join(lead + x for x in textwrap.wrap(text, width))
+            wrapped.append((7000 + len(wrapped), f"{prose(70 + i, 60)}\n\n{notice}\n\n{prose(80 + i, 60)}"))
+    found = license_scan.scan(spark.createDataFrame(wrapped, "doc_id bigint, text string"), model).collect()
+    assert {r.doc_id: r.families for r in found} == wanted
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert license_scan.scan(empty, model).count() == 0 and license_scan.fit(empty) is not None
     assert got[5001] == (1, "all-rights-reserved,apache-2.0,mit") and got[5002] == (0, "") and got[5003] == (3, "all-rights-reserved")
     assert all(got[i] == (0, "") for i, _ in plain)
 
