@@ -160,7 +160,14 @@ def distinct_documents(docs: DataFrame, **how) -> DataFrame:
     row = "_n_row"
     while row in docs.columns:
         row = "_" + row
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    number = F.expr("try_cast(doc_id AS BIGINT)")
+    twice = stored(docs.select(number.alias("_n_twice")).groupBy("_n_twice").agg(F.count("*").alias("n")).filter("n > 1 AND _n_twice IS NOT NULL").select("_n_twice"), "twice")
+    fresh = F.lit(1 << 62) + F.monotonically_increasing_id()  # above the ids of the table, so those come first as in near_duplicates
+    own = F.coalesce(number, fresh)
+    numbered = docs.withColumn(row, own)
+    if not twice.isEmpty():
+        numbered = docs.join(twice, number == F.col("_n_twice"), "left").withColumn(row, F.when(F.col("_n_twice").isNull(), own).otherwise(fresh)).drop("_n_twice")
+    rows = stored(numbered, "numbered")
     groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_n_at"), "component_id")
     each = rows.select(F.col(row).alias("_n_at"), F.col("doc_id").alias("_n_id")).join(groups, "_n_at")
     first = each.groupBy("component_id").agg(F.min(F.struct(F.col("_n_id").isNull(), "_n_id", "_n_at"))["_n_at"].alias(row))
