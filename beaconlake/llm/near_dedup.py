@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one class and take part once, by their smallest id. Classes that share a band key
 are candidates. Pairs inside a bucket are never all emitted: first every member meets the bucket's smallest id, and of all those the one with the
 likeliest registers is verified; then only buckets whose members are still in different components
-go on, a growing number of members (at most ``LEADERS``) at a time against the later members of other components, round by round until each bucket is one component or all its
+go on, ``LEADERS`` members at a time against the later members of other components, round by round until each bucket is one component or all its
 members have been leaders. The join that compares them holds the low two bits of all registers and emits only pairs whose bits agree as often as
 those of similar sets do, so no candidate near the threshold is dropped and dissimilar members of a bucket make no rows. A pair that shares several
 buckets meets in the smallest of them only, which stays until it is one component or the pair's smaller member has been a leader there.
@@ -25,7 +25,6 @@ from .graph import components
 
 BANDS, ROWS = 64, 7
 LEADERS = 256
-FIRST_LEADERS = 8  # of the first round; each round doubles them, as what the first leaders link need not meet again
 PERCENT = 75
 # A pair is verified if its estimate is at most this far below the threshold: five standard deviations of an estimate from 448 registers at 0.75.
 MARGIN = 0.11
@@ -127,7 +126,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     links = verified(best)
     labels = components(links)
     members = members.select("key", "doc_id").withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("doc_id")))
-    done, width = 0, min(FIRST_LEADERS, LEADERS)
+    done = 0
     while True:
         now = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "place", F.coalesce("component", "doc_id").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > done + 1))
@@ -135,7 +134,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         if left.isEmpty():
             break
         packed = left.withColumn("keys", F.collect_list("key").over(W.partitionBy("doc_id"))).join(bits, "doc_id")
-        heads = packed.filter((F.col("place") > done) & (F.col("place") <= done + width))
+        heads = packed.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS))
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
         close = F.expr(similar_size) & (agreement("x", "y") >= needed * bands * rows)
         first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
@@ -145,7 +144,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
             links = links.unionByName(found)
             labels = components(links)
         members = left.drop("component")
-        done, width = done + width, min(2 * width, LEADERS)
+        done += LEADERS
 
     out = made.select("doc_id", *same).join(classes, same, "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
