@@ -9,7 +9,7 @@ import pytest
 from oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("latency_stats_by_producer", "token_totals", "sequence_gaps", "det_error_burst", "det_compaction", "topology_edges", "pipeline_requests", "metric_deltas", "src_rejected")
+NAMES = ("latency_stats_by_producer", "token_totals", "sequence_gaps", "det_error_burst", "det_compaction", "topology_edges", "pipeline_requests", "metric_deltas", "src_rejected", "src_recording", "det_duplicate_worker", "metrics_at", "stream_retention", "stream_gaps")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
