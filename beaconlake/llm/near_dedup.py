@@ -4,8 +4,10 @@ Documents with equal shingle sets are one class and take part once, by their sma
 are candidates. Pairs inside a bucket are never all emitted: first every member meets the bucket's smallest id, and of all those the one with the
 likeliest registers is verified; then only buckets whose members are still in different components
 go on, ``LEADERS`` members at a time against the later members of other components, round by round until each bucket is one component or all its
-members have been leaders. The join that compares them holds the low two bits of all registers and emits only pairs whose bits agree as often as
-those of similar sets do, so no candidate near the threshold is dropped and dissimilar members of a bucket make no rows. A pair that shares several
+members have been leaders. The join that compares them holds the parities of sets that are not large (``sketch.parities``): two sets differ in at
+least as many shingles as their parities do, so pairs that this proves to be below the threshold are not emitted and no link is lost. Of large sets it
+holds the low two bits of all registers and emits only pairs whose bits agree as often as those of similar sets do, so no candidate near the
+threshold is dropped and dissimilar members of a bucket make no rows. A pair that shares several
 buckets meets in the smallest of them only, which stays until it is one component or the pair's smaller member has been a leader there.
 """
 
@@ -25,6 +27,8 @@ from .graph import components
 
 BANDS, ROWS = 64, 7
 LEADERS = 256
+# Sets with more shingles are compared by their registers alone: so many parities tell little of them.
+PARITY_SETS = sketch.PARITIES // 2
 PERCENT = 75
 # A pair is verified if its estimate is at most this far below the threshold: five standard deviations of an estimate from 448 registers at 0.75.
 MARGIN = 0.11
@@ -48,9 +52,11 @@ def sketch_batches(bands: int, rows: int) -> Batches:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (stop - start + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 packed = sketch.digests(regs)
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)), pa.array(packed.ravel()))
+                odd = sketch.parities(owner, hashes, stop - start)
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32)), pa.array(odd.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(total(hashes)), pa.array(total(sketch.mix(hashes + sketch.GOLDEN))), lists, bits, pa.array([x.tobytes() for x in regs], type=pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "bits", "regs"],
+                    [batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(total(hashes)), pa.array(total(sketch.mix(hashes + sketch.GOLDEN))), lists, bits, parity, pa.array([x.tobytes() for x in regs], type=pa.binary())],
+                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "bits", "parity", "regs"],
                 )
 
     return run
@@ -91,7 +97,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     """
     ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = stored(ids.mapInArrow(sketch_batches(bands, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>, regs binary"), "sketches")
+    made = stored(ids.mapInArrow(sketch_batches(bands, rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>, parity array<bigint>, regs binary"), "sketches")
     same = ["n_shingles", "s1", "s2"]
     classes = stored(made.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.join(classes, same).filter("doc_id = rep")
@@ -101,16 +107,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     one = ["doc_id", *same]
     chosen = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(one)
     longs = -(-bands * rows // 32)
-    sides = stored(chosen.select(*one, "regs", "bits").join(ids, "doc_id").dropDuplicates([*one, "text"]), "candidates")
-    bits = stored(sides.select(*one, "bits").dropDuplicates(one).select("doc_id", F.col("n_shingles").alias("n"), *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(longs))), "bits")
+    sides = stored(chosen.select(*one, "regs", "bits", "parity").join(ids, "doc_id").dropDuplicates([*one, "text"]), "candidates")
+    bits = stored(sides.select(*one, "bits", "parity").dropDuplicates(one).select("doc_id", F.col("n_shingles").alias("n"), "bits", "parity"), "bits")
     expected = (1 + 3 * percent / 100) / 4
     needed = expected - DEVIATIONS * (expected * (1 - expected) / (bands * rows)) ** 0.5
     pad = longs * 32 - bands * rows  # unused places agree
 
     def agreement(left: str, right: str) -> Column:
         """Registers whose low two bits agree."""
-        differing = [F.expr(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 6148914691236517205L)") for x in (f"({left}.w{i} ^ {right}.w{i})" for i in range(longs))]
-        return F.lit(longs * 32 - pad) - sum(differing[1:], differing[0])
+        both = F.zip_with(f"{left}.bits", f"{right}.bits", lambda x, y: x.bitwiseXOR(y))
+        differing = F.transform(both, lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(6148914691236517205))))
+        return F.lit(longs * 32 - pad) - F.aggregate(differing, F.lit(0), lambda total, count: total + count)
+
+    def may_link(left: str, right: str, parity: Callable[[str, int], str]) -> Column:
+        """False only for sets below the threshold: of n shingles in both sets together, d in one alone leave a similarity of (n - d) / (n + d)."""
+        d = " + ".join(f"bit_count({parity(left, i)} ^ {parity(right, i)})" for i in range(sketch.PARITIES // 64))
+        return F.expr(f"{100 + percent} * ({d}) <= {100 - percent} * ({left}.n + {right}.n)")
 
     similar_size = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
 
@@ -121,24 +133,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     stars = members.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     met = stars.alias("s").join(bits.alias("x"), F.col("s.a") == F.col("x.doc_id")).join(bits.alias("y"), F.col("s.b") == F.col("y.doc_id")).filter(similar_size)
-    met = met.select("a", "b", agreement("x", "y").alias("agree")).filter(F.col("agree") >= needed * bands * rows)
+    met = met.filter((agreement("x", "y") >= needed * bands * rows) & may_link("x", "y", "{}.parity[{}]".format)).select("a", "b", agreement("x", "y").alias("agree"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
     links = verified(best)
     labels = components(links)
     members = members.select("key", "doc_id").withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("doc_id")))
     done = 0
     while True:
-        now = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "place", F.coalesce("component", "doc_id").alias("component"))
+        now = members.join(labels, members["doc_id"] == labels["node"], "left").select(members["*"], F.coalesce("component", "doc_id").alias("component"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > done + 1))
-        left = stored(now.join(mixed.select("key"), "key"), "members")
+        left = stored(now.join(mixed.select(F.col("key").alias("of")), F.col("key") == F.col("of"), "left_semi"), "members")
         if left.isEmpty():
             break
-        packed = left.withColumn("keys", F.collect_list("key").over(W.partitionBy("doc_id"))).join(bits, "doc_id")
-        heads = packed.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS))
+        if not done:
+            # Of two sets of similar size, both have parities or both have bits.
+            few, many = F.col("n") <= PARITY_SETS * 100 // percent, F.col("n") > PARITY_SETS
+            slim = bits.select("doc_id", "n", F.when(many, F.col("bits")).alias("bits"), *(F.when(few, F.get("parity", F.lit(i))).alias(f"p{i}") for i in range(sketch.PARITIES // 64)))
+            left = stored(left.withColumn("keys", F.collect_list("key").over(W.partitionBy("doc_id"))).join(slim, "doc_id"), "packed")
+        heads = left.filter((F.col("place") > done) & (F.col("place") <= done + LEADERS))
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") > F.col("y.place")) & (F.col("x.component") != F.col("y.component"))
-        close = F.expr(similar_size) & (agreement("x", "y") >= needed * bands * rows)
+        close = F.expr(similar_size) & F.coalesce(may_link("x", "y", "{}.p{}".format), F.lit(True)) & F.coalesce(agreement("x", "y") >= needed * bands * rows, F.lit(True))
         first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-        pairs = packed.alias("x").join(heads.alias("y"), meet & close & first).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        pairs = left.alias("x").join(heads.alias("y"), meet & close & first).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         found = verified(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)

@@ -21,6 +21,7 @@ SHINGLE = 5
 BASE = 1.001
 OFFSET = 8192.0
 CHUNK_BYTES = 1 << 21
+PARITIES = 1024
 MULTIPLIER, ROLL, GOLDEN = U(0xD6E8FEB86659FD93), U(0x9FB21C651E98DF25), U(0x9E3779B97F4A7C15)
 
 
@@ -163,3 +164,14 @@ def digests(regs: np.ndarray) -> np.ndarray:
     low = np.zeros((n, -(-m // 32) * 32), dtype=np.uint64)
     low[:, :m] = regs & 3
     return np.bitwise_or.reduce(low.reshape(n, -1, 32) << (np.arange(32, dtype=np.uint64) * U(2)), axis=2).view(np.int64)
+
+
+def parities(owner: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
+    """``PARITIES`` bits of each set, 64 to a number: a bit tells whether an odd count of the set's shingles falls on it.
+
+    A shingle that only one of two sets holds turns one bit of their difference, so they differ in at least as many shingles as in bits.
+    """
+    at = (hashes >> U(40)) % U(PARITIES)
+    out = np.zeros(n_texts * (PARITIES // 64), dtype=np.uint64)
+    np.bitwise_xor.at(out, owner * (PARITIES // 64) + (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return out.reshape(n_texts, -1).view(np.int64)

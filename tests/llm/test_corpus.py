@@ -8,11 +8,12 @@ import random
 import re
 import textwrap
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from beaconlake.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, url_filters
+from beaconlake.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sketch, url_filters
 from beaconlake.llm.graph import components
 from tokenizers import Tokenizer
 
@@ -134,6 +135,36 @@ def test_near_dedup(docs, empty, spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in sets}
 
 
+def test_near_dedup_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one text that are all a little below the threshold: no pair reaches the verification, which here takes every pair for a link."""
+    words = prose(31, 150).split()
+    far = [" ".join(f"z{i}" if k % 5 == 2 and k // 15 == i else w for k, w in enumerate(words)) for i in range(10)]
+    near = [" ".join("changed" if k == 75 else w for k, w in enumerate(t.split())) for t in far[:1]]
+
+    def every(percent):
+        def run(batches):
+            for batch in batches:
+                yield batch.select(["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "check_batches", every)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(far + near)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(10)} | {10: 0}
+
+
+def test_parities():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [set(rng.choice(pool, n).tolist()) for n in (0, 1, 60, 500, 3000)]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = sketch.parities(owner, np.array([h for s in sets for h in sorted(s)], dtype=np.uint64), len(sets))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        differing = sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64))
+        assert differing <= len(sets[a] ^ sets[b]) and differing % 2 == len(sets[a] ^ sets[b]) % 2
+        assert differing > 0 or not sets[a] ^ sets[b]
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
