@@ -80,8 +80,7 @@ def op9_url_filters(spark, sf_dir):
 
 @query
 def op10_license_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return license_scan.scan(docs, license_scan.fit(docs))
+    return license_scan.fit_and_scan(table(spark, sf_dir, "documents"))
 
 
 @query

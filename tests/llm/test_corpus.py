@@ -302,6 +302,17 @@ def test_license_scan_in_long_lines(spark):
     assert all(got[i] == (0, "") for i, _ in plain)
 
 
+def test_license_scan_learns_from_all_paragraphs(spark, monkeypatch):
+    """Every paragraph's stretches are counted, however many there are."""
+    counted = {}
+    monkeypatch.setattr(license_scan, "stored", lambda df, name: counted.setdefault(name, df.localCheckpoint()))
+    lines = [f"{prose(i, 6, 6)[:-1]} the software w{i} of the work." for i in range(3500)] + ["no notice here w."] * 2 + ["Released under the MIT License."]
+    table = spark.createDataFrame([(i, "\n".join(lines[i::50])) for i in range(50)], "doc_id bigint, text string")
+    rows = license_scan.fit_and_scan(table).collect()
+    assert counted["vectors"].count() == 3503 and counted["counted"].agg({"n": "sum"}).first()[0] == 3503
+    assert {(r.doc_id, r.families) for r in rows if r.n_notices} == {(3502 % 50, "mit")}
+
+
 def test_pipeline(docs):
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
