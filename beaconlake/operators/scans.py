@@ -38,11 +38,9 @@ _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _local(scan: Scan, window) -> Column:
-    if scan.kind == "next":
-        ahead = window.rowsBetween(Window.currentRow if scan.inclusive else 1, Window.unboundedFollowing)
-        return F.first(scan.value, ignorenulls=True).over(ahead)
+    """``window`` runs backwards for a value ahead: a frame up to the end of a slice is folded anew for each of its rows."""
     frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if scan.inclusive else -1)
-    if scan.kind == "last":
+    if scan.kind in ("last", "next"):
         return F.last(scan.value, ignorenulls=True).over(frame)
     return _FOLDS[scan.kind](scan.value).over(frame)
 
@@ -67,20 +65,29 @@ def running(
 ) -> DataFrame:
     """Add one column per scan. ``keys`` must not be null; ``order`` is a total order led by ``slice_by``."""
     sliced = with_slice(df, slice_by, width or SLICE_NS)
-    window = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    part = Window.partitionBy(*keys, SLICE)
+    window = part.orderBy(*order)
     order_struct = F.struct(*order)
-    local = sliced.select("*", *[_local(s, window).alias(f"__l_{s.out}") for s in scans])
+    behind, ahead = [s for s in scans if s.kind != "next"], [s for s in scans if s.kind == "next"]
+    local, back = sliced, part.orderBy(*[F.col(c).desc() for c in order])
+    if behind:
+        # Both directions see rows that tie in one order: that of their places.
+        places = [F.row_number().over(window).alias("__place")] if ahead else []
+        local = local.select("*", *places, *[_local(s, window).alias(f"__l_{s.out}") for s in behind])
+        back = part.orderBy(F.col("__place").desc())
+    if ahead:
+        local = local.select("*", *[_local(s, back).alias(f"__l_{s.out}") for s in ahead])
     blocks = sliced.groupBy(*keys, SLICE).agg(*[_block(s, order_struct).alias(f"__b_{s.out}") for s in scans])
-    slices = Window.partitionBy(*keys).orderBy(SLICE)
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    later = slices.rowsBetween(1, Window.unboundedFollowing)
+    slices = Window.partitionBy(*keys)
+    earlier = slices.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    later = slices.orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for s in scans:
         b = F.col(f"__b_{s.out}")
-        if s.kind == "next":
-            c = F.first(b, ignorenulls=True).over(later)
+        if s.kind in ("last", "next"):
+            c = F.last(b, ignorenulls=True).over(earlier if s.kind == "last" else later)
         else:
-            c = (F.last(b, ignorenulls=True) if s.kind == "last" else _FOLDS[s.kind](b)).over(earlier)
+            c = _FOLDS[s.kind](b).over(earlier)
         carried.append(c.alias(f"__c_{s.out}"))
     carry = blocks.select(*keys, SLICE, *carried)
     joined = local.join(carry, [*keys, SLICE], "inner")

@@ -98,3 +98,23 @@ def test_row_blocks_hold_the_rows_before(spark):
     for b in {b["__block"] for b in blocks}:
         mine = sorted(x["pos"] for x in blocks if x["__block"] == b)
         assert mine == list(range(max(1, 10 * b - 2), min(50, 10 * b + 10) + 1))
+
+
+def test_values_ahead_are_folded_backwards_and_tied_rows_keep_one_order(spark):
+    """A frame up to the end of a slice is folded anew for each of its rows: with n rows in a slice that is n squared steps."""
+    rows = [("r", SLICE_NS // 100 * t, f"e{t:03d}", "a", t if t % 7 == 0 else None) for t in range(60)]
+    twice = flat(spark, rows + rows)
+    order = ("mono_ns", "sequence", "event_id")
+    for kinds in (("next",), ("last", "next")):
+        df = running(twice, ["recording_id"], [Scan(kind, kind, F.col("v"), inclusive=False) for kind in kinds], order)
+        assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["event_id"], []).append([r[kind] for kind in kinds])
+        for t, (_, _, eid, _, v) in enumerate(rows):
+            ahead = next((x[4] for x in rows[t + 1:] if x[4] is not None), None)
+            behind = next((x[4] for x in reversed(rows[:t]) if x[4] is not None), None)
+            # Of two equal rows one comes first and has the other ahead, and the other has it behind.
+            first, second = ([behind, v if v is not None else ahead], [v if v is not None else behind, ahead])
+            expect = [[x[-1]] if kinds == ("next",) else x for x in (first, second)]
+            assert sorted(got[eid], key=str) == sorted(expect, key=str)
