@@ -22,6 +22,7 @@ from beaconlake.operators import topology as T
 from beaconlake.operators.metrics import OCTAVE_BUCKETS, call_id
 from beaconlake.operators.scans import Scan, running
 from beaconlake.schema import ord_col
+from beaconlake.session import stored
 
 REC = "recording_id"
 _PLACE = ("mono_ns", "side", "sequence", "event_id")
@@ -162,7 +163,7 @@ def metrics_at(events: DataFrame, cursors: DataFrame) -> DataFrame:
     The recording at a cursor holds the events not after it. A value without evidence is null, a counter without events 0.
     """
     marks = numbered(cursors)
-    rows = in_intervals(_narrow(events), marks)
+    rows = stored(in_intervals(_narrow(events), marks), "at-cursors")
     count = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     tools = [Fold(f"tools_{n}", "sum", count(F.col("tool").eqNullSafe(n))) for n in ("called", "completed", "failed")]
     folds = [
@@ -171,7 +172,7 @@ def metrics_at(events: DataFrame, cursors: DataFrame) -> DataFrame:
         Fold("peak_fraction", "max", F.col("fraction")), Fold("latest_fraction", "last", F.col("fraction")), Fold("latest_compute", "last", F.col("load")),
     ]
     plain = prefix_states(rows, [REC], folds)
-    visits = request_visits(rows)
+    visits = stored(request_visits(rows), "visits")
     totals = {
         "agents_active": _steps(rows.where("life IS NOT NULL"), [REC, "agent_id"], F.col("life"), "agents_active"),
         "tools_active": _steps(rows.where("call_id IS NOT NULL"), [REC, "call_id"], F.when(F.col("tool") == "called", 1).otherwise(0), "tools_active"),

@@ -22,9 +22,10 @@ SPARK_BASE = """SELECT event_id AS id, timestampdiff(MICROSECOND, timestamp_ntz'
 DUCK_BASE = """SELECT event_id AS id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us,
  user_id AS uid, event_type AS et, value AS v, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"""
 
+_RECORDING = "'r' || CAST(uid % 8 AS STRING)"
 _WIN = "CAST(CAST(FLOOR(CAST(us AS DOUBLE) / 300000000000) AS BIGINT) AS STRING)"
 _ENVELOPE = f"""
- 'r' || CAST(uid % 8 AS STRING) AS recording_id,
+ {_RECORDING} AS recording_id,
  CASE WHEN uid % 3 = 1 THEN 'u' || CAST(uid AS STRING) || '-' || CAST(id AS STRING) ELSE 'x' || CAST(id AS STRING) END AS event_id,
  CAST(id AS BIGINT) AS sequence,
  CAST(us AS BIGINT) AS mono_ns,
@@ -252,7 +253,8 @@ def assemble(flat: DataFrame) -> DataFrame:
 
 
 def _mapped(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
-    base = spark.sql(SPARK_BASE, events=_read(spark, sf_dir, "events"))
+    """Mapped after the rows are ranged by recording and time: ranging reads its input twice and moves it, and the table's rows are narrower than events."""
+    base = spark.sql(SPARK_BASE, events=_read(spark, sf_dir, "events")).repartitionByRange(F.expr(_RECORDING), "us")
     return assemble(spark.sql(mapping.replace("FROM base", "FROM {base}"), base=base))
 
 
@@ -269,6 +271,7 @@ _VIEWS = {
     "spans": _span_events,
     "turns": lambda spark, sf_dir: assemble(spark.sql(TURNS, conversations=_read(spark, sf_dir, "conversations"))),
 }
+_RANGED = ("core", "agents", "pipe")
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -284,7 +287,7 @@ def events_of(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, view)
     if key not in _STORED:
         path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}/{view}"
-        write_events(mapped, path)
+        write_events(mapped, path, ranged=view in _RANGED)
         _STORED[key] = path
     return read_events(spark, _STORED[key], mapped.schema)
 
