@@ -209,7 +209,8 @@ def topology_nodes_at(stated: DataFrame, cursors: DataFrame) -> DataFrame:
     marks = numbered(cursors)
     label = F.when(F.col("label") != F.col("entity"), F.col("label"))
     said = T.node_mentions(stated).withColumn("label", label).withColumn("firm", F.when(F.col("status") != "pending", F.col("status"))).withColumn("wait", F.coalesce(F.col("status") == "pending", F.lit(False)))
-    rows = in_intervals(said.select(REC, "mono_ns", "sequence", "event_id", "node_id", "kind", "entity", "label", "role", "firm", "wait"), marks)
+    said = stored(said.select(REC, "mono_ns", "sequence", "event_id", "node_id", "kind", "entity", "label", "role", "firm", "wait"), "nodes")
+    rows = in_intervals(said, marks)
     states = prefix_states(rows, [REC, "node_id", "kind", "entity"], [
         Fold("label", "first", F.col("label")), Fold("role", "last", F.col("role")), Fold("firm", "last", F.col("firm")), Fold("pending", "max", F.col("wait")),
         Fold("first_ns", "min", F.col("mono_ns")), Fold("last_ns", "max", F.col("mono_ns")),

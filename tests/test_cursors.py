@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.operators import cursors as K
+from beaconlake.operators import topology as T
+from beaconlake.operators.replay import at_cursors
 from beaconlake.plans import driver_tables as dt
 from beaconlake.session import short_methods
 from events import event, load
@@ -39,6 +41,16 @@ def test_metrics_at_reads_events_once(spark, table):
     assert [tuple(got[f"rec@{i}"][c] for c in columns) for i in range(3)] == [(0, 0, 0, 0, 0, 0, 0, 0, None), (4, 1, 0, 1, 1, 1, 0, 0, None), (9, 1, 1, 0, 0, 1, 1, 1, 4.0)]
 
 
+@pytest.mark.parametrize("state, whole", [(K.topology_nodes_at, T.topology_nodes)])
+def test_topology_at_states_mentions_once(spark, table, state, whole):
+    events, cursors, path = table
+    out = state(T.mentions(events), cursors)
+    assert not [f for f in out.inputFiles() if path in f]
+    prefixes = at_cursors(events, cursors.withColumn("cursor_id", F.col("cursor_id").cast("string")))
+    expect = whole(T.mentions(prefixes)).select(*out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, expect.collect())) != []
+
+
 def test_rows_are_ranged_before_they_are_mapped(spark, tmp_path):
     rows = [(i, datetime.datetime(2024, 1, 1, 0, i % 7), i % 5, ("signup", "click", None)[i % 3], 1.5 * i, '{"k": %d}' % i) for i in range(40)]
     spark.createDataFrame(rows + rows[:3] + [(None, None, None, None, None, None)], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
