@@ -222,7 +222,9 @@ def topology_nodes_at(stated: DataFrame, cursors: DataFrame) -> DataFrame:
 def topology_edges_at(stated: DataFrame, cursors: DataFrame) -> DataFrame:
     """Edges of :func:`topology.topology_edges` at each cursor."""
     marks = numbered(cursors)
-    rows = in_intervals(T.edge_mentions(stated).select(REC, "mono_ns", "sequence", "event_id", "edge_id", "kind", "src", "dst", "count", "fail", "tokens", "status"), marks)
+    edges = T.edge_mentions(stored(stated.select(REC, "mono_ns", "sequence", "event_id", "edges"), "stated"))
+    said = stored(edges.select(REC, "mono_ns", "sequence", "event_id", "edge_id", "kind", "src", "dst", "count", "fail", "tokens", "status"), "edges")
+    rows = in_intervals(said, marks)
     at = ord_col()
     states = prefix_states(rows, [REC, "edge_id", "kind", "src", "dst"], [
         Fold("count", "sum", F.col("count")), Fold("failures", "sum", F.col("fail")), Fold("tokens", "sum", F.col("tokens")), Fold("status", "last", F.col("status")),

@@ -41,7 +41,7 @@ def test_metrics_at_reads_events_once(spark, table):
     assert [tuple(got[f"rec@{i}"][c] for c in columns) for i in range(3)] == [(0, 0, 0, 0, 0, 0, 0, 0, None), (4, 1, 0, 1, 1, 1, 0, 0, None), (9, 1, 1, 0, 0, 1, 1, 1, 4.0)]
 
 
-@pytest.mark.parametrize("state, whole", [(K.topology_nodes_at, T.topology_nodes)])
+@pytest.mark.parametrize("state, whole", [(K.topology_nodes_at, T.topology_nodes), (K.topology_edges_at, T.topology_edges)])
 def test_topology_at_states_mentions_once(spark, table, state, whole):
     events, cursors, path = table
     out = state(T.mentions(events), cursors)
